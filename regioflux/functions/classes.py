@@ -59,4 +59,5 @@ def bin_labels(breaks: Sequence[float] = NET_BREAKS) -> list[str]:
 
 
 def bin_label(x: Column, breaks: Sequence[float] = NET_BREAKS) -> Column:
-    return F.element_at(F.array(*map(F.lit, bin_labels(breaks))), bin_index(x, breaks))
+    # Not element_at: in ANSI mode it takes a null index for a position if the array holds no null.
+    return F.get(F.array(*map(F.lit, bin_labels(breaks))), bin_index(x, breaks) - 1)

@@ -51,14 +51,20 @@ def incident_counts(incidents: DataFrame) -> DataFrame:
 
 
 def count_wide(
-    df: DataFrame, key: str, column: str, values: Mapping[str, str] | Sequence[str]
+    df: DataFrame,
+    key: str,
+    column: str,
+    values: Mapping[str, str] | Sequence[str],
+    sums: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Rows per key with one count column per listed value, 0 where there is none.
 
-    values is a list, or {value: column name}. Conditional counts need one shuffle, a pivot two.
+    values is a list, or {value: column name}. sums {result: column} adds null-safe totals to the same pass.
+    Conditional counts need one shuffle, a pivot two.
     """
     labels = values if isinstance(values, Mapping) else {v: v for v in values}
     counts: list[Column] = [
         F.count_if(F.col(column) == value).alias(name) for value, name in labels.items()
     ]
-    return df.groupBy(key).agg(*counts)
+    totals = [sum0(df[c]).alias(name) for name, c in (sums or {}).items()]
+    return df.groupBy(key).agg(*totals, *counts)

@@ -56,14 +56,16 @@ def cumulate(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
         # The test on copies is always true. It keeps the column, so that this subquery and the
         # ranking below share one shuffle of the histogram.
         seen = F.when((F.col("field") == name) & (F.col("copies") > 0), F.col("value"))
-        return F.percentile_approx(seen, steps, max(10000, 20 * bins))
+        return F.percentile_approx(seen, steps, max(1000, 4 * bins))
 
     entries = [part for name in columns for part in (F.lit(name), cuts(name))]
     by_field = hist.agg(F.create_map(*entries).alias("cuts")).scalar()
     lower_cuts = F.array_position(
         F.sort_array(F.array_append(by_field[F.col("field")], F.col("value"))), F.col("value")
     )
-    binned = hist.withColumn("bin", lower_cuts - 1)
+    # A bin that cannot be null spares the joins below a null filter, which would sink under the
+    # histogram and evaluate the cuts once per row instead of once per value.
+    binned = hist.withColumn("bin", F.coalesce(lower_cuts - 1, F.lit(0)))
 
     ordered = Window.partitionBy("field").orderBy("bin")
     offsets = (
@@ -80,7 +82,8 @@ def cumulate(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
     running = F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
         binned.withColumn("running", running)
-        .join(offsets, ["field", "bin"])
+        # One row per bin and field, so never more than MAX_BINS rows per ranked column.
+        .join(F.broadcast(offsets), ["field", "bin"])
         .select(
             "field",
             "value",
@@ -110,7 +113,10 @@ def add_percent_rank(df: DataFrame, column: str, name: str, scale: float = 100.0
 def add_percent_ranks(
     df: DataFrame, key: str, columns: Sequence[str], suffix: str = "_percentile", scale: float = 100.0
 ) -> DataFrame:
-    """Percent ranks of several columns in one set of shuffles; key must identify the rows."""
+    """Percent ranks of several columns in one set of shuffles; key must identify the rows.
+
+    The table is read three times; settle an expensive one first.
+    """
     ranks = cumulate(histogram(df, columns), columns).select(
         "field", "value", _percent(scale).alias("pct")
     )

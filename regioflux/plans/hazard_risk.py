@@ -59,10 +59,13 @@ def disaster_layer(
     dropped: Sequence[str] = DISASTER_TERRITORIES,
     cuts: Sequence[float] = DISASTER_CUTS,
 ) -> DataFrame:
-    """States with total, incidents by type and threshold rating."""
-    totals = groups.incident_totals(incidents, dropped)
-    wide = groups.count_wide(incidents, "STUSPS", "incidentType", incident_types)
-    joined = states.join(totals, "STUSPS", "left").join(wide, "STUSPS", "left")
+    """States with total, incidents by type and threshold rating, from one pass over the incidents."""
+    measures = groups.count_wide(
+        incidents, "STUSPS", "incidentType", incident_types, {"TotalDisasters": "incidentNumber"}
+    )
+    listed = not_in(measures["STUSPS"], dropped)
+    measures = measures.withColumn("TotalDisasters", F.when(listed, measures["TotalDisasters"]))
+    joined = states.join(measures, "STUSPS", "left")
     rating = threshold_rating(joined["TotalDisasters"], cuts)
     return joined.withColumns(
         {"Disaster_Ranking": rating, "ranking_ordinal": ordinal(rating, RATING_LEVELS)}

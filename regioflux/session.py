@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
 
@@ -45,3 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    For an expensive table that a plan reads several times, such as a grouped result about to be ranked:
+    it is then computed once, and a lost executor costs no recomputation of what lies before it.
+    """
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -45,7 +45,8 @@ def assign_years(files: DataFrame, years: Sequence[int]) -> DataFrame:
     )
     year = F.get(F.array(*map(F.lit, years)), F.col("_place") - 1)
     paired = numbered.select("_file", F.when(F.col("_n") == wanted, year).otherwise(problem).alias("year"))
-    return files.join(paired, files["file"] == paired["_file"], "left").select(
+    # At most one pair per given year, so the pairs go to the files and not the contents to the pairs.
+    return files.join(F.broadcast(paired), files["file"] == paired["_file"], "left").select(
         "file",
         # A file beyond the limit has no pair: the numbers differ.
         F.when(F.col("_file").isNull(), problem).otherwise(F.col("year")).alias("year"),

@@ -86,13 +86,13 @@ def _cell(row: Column, col: Column, value: Column) -> Column:
 
 def state_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flows laid out as published yearly workbooks: headings, filler, margins, totals."""
-    # The condition holds for every pair. It keeps the total in all three uses below, so that they
+    # The condition holds for every pair. It keeps the columns of all uses below the same, so that they
     # share one shuffle.
     sums = (
         keyed_flows(spark, sf_dir)
         .groupBy("year", "dest", "orig")
         .agg(F.sum("quantity").alias("total"))
-        .where(F.col("total") > 0)
+        .where((F.col("total") > 0) & F.col("dest").isNotNull() & F.col("orig").isNotNull())
     )
     first_row = 12
     estimate_col = F.col("orig") * 2 + 2
@@ -198,9 +198,7 @@ def county_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("left"),
         )
     )
-    suffix = F.element_at(
-        F.array(*map(F.lit, COUNTY_SUFFIXES)), (F.col("dest") % len(COUNTY_SUFFIXES) + 1).cast("int")
-    )
+    suffix = F.get(F.array(*map(F.lit, COUNTY_SUFFIXES)), F.col("dest") % len(COUNTY_SUFFIXES))
     return (
         sums.join(nation_names(spark, sf_dir, "dest", "state_from"), "dest")
         .join(nation_names(spark, sf_dir, "orig", "state_to"), "orig")
@@ -372,7 +370,7 @@ def risk_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad((key % 25).cast("string"), 2, "0").alias("STATEFIPS"),
         F.when(key % 17 != 0, F.round(F.col("p_retailprice") * 100).cast("bigint")).alias("RISK_SCORE"),
         F.when(key % 401 != 0, F.col("p_size").cast("bigint")).alias("POPULATION"),
-        F.element_at(F.array(*map(F.lit, levels)), F.col("p_size") % 6 + 1).alias("RISK_RATNG"),
+        F.get(F.array(*map(F.lit, levels)), F.col("p_size") % 6).alias("RISK_RATNG"),
     )
 
 

@@ -10,6 +10,7 @@ from regioflux.operators import flows as fl
 from regioflux.operators import geometry as geo
 from regioflux.operators import layers
 from regioflux.plans import hazard_risk as plan
+from regioflux.session import settled
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
 from regioflux.workload.risk_queries import ordinal_sql, percentile_sql, rating_sql
@@ -104,7 +105,7 @@ def geo_invalid_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, sf: str) -> DataFrame:
-    table = fx.indicators(spark, sf).select("Name", "Storms")
+    table = settled(fx.indicators(spark, sf).select("Name", "Storms"))
     return plan.rated(table, "Storms", "Storms_percentile", "Storms_rating")
 
 

@@ -10,7 +10,7 @@ from regioflux.operators import groups, profile
 from regioflux.operators.ranks import add_percent_rank
 from regioflux.operators.tables import points_from_text
 from regioflux.plans import hazard_risk as plan
-from regioflux.session import new_path
+from regioflux.session import new_path, settled
 from regioflux.sources.tables import read_csv, write_csv
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
@@ -175,7 +175,7 @@ def _indicator_sql() -> str:
 
 @query(_indicator_sql(), ("indicators",))
 def indicator_ratings(spark: SparkSession, sf: str) -> DataFrame:
-    table = fx.indicators(spark, sf).drop("Source")
+    table = settled(fx.indicators(spark, sf).drop("Source"))
     return plan.rated_columns(table, "Name", fx.INDICATORS)
 
 
