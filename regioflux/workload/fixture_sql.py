@@ -6,7 +6,8 @@ with_fixtures("a", "b") gives the WITH clause for the named fixtures and those t
 from __future__ import annotations
 
 NEEDS = {
-    "keyed": (),
+    "bought": (),
+    "keyed": ("bought",),
     "flow_long": ("keyed",),
     "pair_year": ("keyed",),
     "net": ("flow_long",),
@@ -15,7 +16,7 @@ NEEDS = {
     "county_totals": ("county_pairs",),
     "disasters": (),
     "tract_scores": (),
-    "indicators": ("keyed",),
+    "indicators": ("bought",),
     "risk_counties": (),
     "parcels": (),
     "state_squares": (),
@@ -25,13 +26,13 @@ NEEDS = {
 }
 
 SQL = {
-    "keyed": """
-        SELECT c_nationkey AS dest, s_nationkey AS orig, c_mktsegment AS segment,
+    "bought": """
+        SELECT c_nationkey AS dest, c_mktsegment AS segment, l_suppkey,
                CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag, l_quantity AS quantity
-        FROM lineitem
-        JOIN supplier ON l_suppkey = s_suppkey
-        JOIN orders ON l_orderkey = o_orderkey
-        JOIN customer ON o_custkey = c_custkey""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+    "keyed": """
+        SELECT dest, s_nationkey AS orig, segment, year, l_returnflag, quantity
+        FROM bought JOIN supplier ON l_suppkey = s_suppkey""",
     "flow_long": """
         SELECT d.n_name AS current_state, o.n_name AS origin_state, year, quantity AS migrants
         FROM keyed JOIN nation d ON dest = d.n_nationkey JOIN nation o ON orig = o.n_nationkey""",
@@ -84,7 +85,7 @@ SQL = {
                 CAST(sum(quantity) FILTER (l_returnflag = 'A') AS BIGINT) AS "Temperature",
                 CAST(sum(quantity) FILTER (l_returnflag = 'R') AS BIGINT) AS "Droughts",
                 CAST(sum(quantity) FILTER (l_returnflag = 'N') AS BIGINT) AS "Storms"
-            FROM keyed GROUP BY 1) ON dest = n_nationkey
+            FROM bought GROUP BY 1) ON dest = n_nationkey
         LEFT JOIN (SELECT c_nationkey, count(*) FILTER (o_orderstatus = 'F') AS fires,
                 count(*) FILTER (o_orderstatus = 'O') AS "Flooding"
             FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) c

@@ -32,38 +32,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with destination and origin nation keys."""
+def bought_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the nation and segment of the buyer."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_suppkey",
-        "l_quantity",
         "l_returnflag",
         F.year("l_shipdate").alias("year"),
+        F.col("l_quantity").alias("quantity"),
     )
-    buyers = (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey")
-        .join(
-            table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"),
-            F.col("o_custkey") == F.col("c_custkey"),
-        )
-    )
-    sellers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return (
-        lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.col("c_nationkey").alias("dest"),
-            F.col("s_nationkey").alias("orig"),
-            F.col("c_mktsegment").alias("segment"),
-            "year",
-            "l_returnflag",
-            F.col("l_quantity").alias("quantity"),
-        )
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    buyers = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+    return lines.join(buyers, lines["l_orderkey"] == buyers["o_orderkey"]).select(
+        F.col("c_nationkey").alias("dest"),
+        F.col("c_mktsegment").alias("segment"),
+        "year",
+        "l_returnflag",
+        "quantity",
+        "l_suppkey",
     )
 
 
+def keyed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with destination (buyer) and origin (seller) nation keys."""
+    sellers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("orig"))
+    lines = bought_lines(spark, sf_dir)
+    return lines.join(sellers, lines["l_suppkey"] == sellers["s_suppkey"]).drop("l_suppkey", "s_suppkey")
+
+
 def nation_names(spark: SparkSession, sf_dir: str, key: str, name: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias(key), F.col("n_name").alias(name)
@@ -321,7 +318,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name, Source 'lat,lon' and five whole-number indicators per nation."""
     quantity = F.col("quantity").cast("bigint")
     lines = (
-        keyed_flows(spark, sf_dir)
+        bought_lines(spark, sf_dir)
         .groupBy("dest")
         .agg(
             *[
