@@ -159,7 +159,7 @@ def invalid_rings(vertices: DataFrame) -> DataFrame:
     flags = {
         "open_ring": ~closed,
         "short_ring": F.col("n") < 4,
-        "zero_area": F.coalesce(F.col("area2") == 0, F.lit(False)),
+        "zero_area": (F.col("holes") == 0) & F.coalesce(F.col("area2") == 0, F.lit(False)),
         "null_coordinate": F.col("holes") > 0,
         "repeated_vertex": F.col("spots") < F.col("n") - F.when(closed, 1).otherwise(0),
     }

@@ -13,7 +13,7 @@ from regioflux.operators.geometry import centroids
 from regioflux.operators.layers import diverging, flow_lines
 from regioflux.operators.matrix import flows_from_cells
 from regioflux.operators.ranks import sorted_desc, top_with_ties
-from regioflux.operators.tables import keep_regions, left_join
+from regioflux.operators.tables import keep_regions, left_join, rename
 from regioflux.sources.workbook import assign_years, list_workbooks, workbook_cells
 
 
@@ -46,9 +46,10 @@ def analyse(
     top_focus = fl.top_focus_flows(flows, focus)
     layer = left_join(keep_regions(regions, "NAME", mapped), net, {"NAME": "state"})
     return {
+        # With the flows within a state, unlike the other totals.
         "top_destinations": sorted_desc(
-            fl.arrivals(flows), "inflow", ["state"]
-        ),  # includes flows within a state
+            rename(fl.arrivals(flows), {"state": "current_state"}), "inflow", ["current_state"]
+        ),
         "inflow_change": sorted_desc(
             fl.inflow_change(flows, first, last), "change", ["current_state"]
         ),

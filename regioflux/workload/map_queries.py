@@ -70,7 +70,7 @@ INVALID_SQL = """SELECT geo_id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) A
     EXCLUDE (geo_id) FROM (
         SELECT geo_id,
             first_x IS DISTINCT FROM last_x OR first_y IS DISTINCT FROM last_y AS open_ring,
-            n < 4 AS short_ring, coalesce(area2 = 0, false) AS zero_area, holes > 0 AS null_coordinate,
+            n < 4 AS short_ring, holes = 0 AND coalesce(area2 = 0, false) AS zero_area, holes > 0 AS null_coordinate,
             spots < n - CASE WHEN first_x IS NOT DISTINCT FROM last_x
                 AND first_y IS NOT DISTINCT FROM last_y THEN 1 ELSE 0 END AS repeated_vertex
         FROM (
