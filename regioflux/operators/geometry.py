@@ -21,17 +21,22 @@ MERCATOR = 3857
 DEGREES = 4326
 
 
-def ring_edges(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(geo_id, part, ring, seq, x1, y1, x2, y2): each vertex with its successor.
+def in_blocks(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Vertices with a block number: rings cut into pieces of bounded length.
 
-    Rings are cut into chunks of bounded length that share their border vertex, so a ring of any length is
-    spread over many tasks.
+    Neighbouring blocks share their border vertex. Grouping by ring and block spreads a ring of any length
+    over many tasks.
     """
     block = F.floor(F.col("seq") / chunk)
     on_border = (F.col("seq") % chunk == 0) & (block > 0)
     blocks = F.when(on_border, F.array(block - 1, block)).otherwise(F.array(block))
+    return vertices.select(*RING, "seq", "x", "y", F.explode(blocks).alias("block"))
+
+
+def ring_edges(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(geo_id, part, ring, seq, x1, y1, x2, y2): each vertex with its successor."""
     order = Window.partitionBy(*RING, "block").orderBy("seq")
-    pairs = vertices.select(*RING, "seq", "x", "y", F.explode(blocks).alias("block")).select(
+    pairs = in_blocks(vertices, chunk).select(
         *RING,
         "seq",
         F.col("x").alias("x1"),

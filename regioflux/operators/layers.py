@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regioflux.functions.classes import RATING_LEVELS, ordinal
 from regioflux.functions.text import paste
-from regioflux.operators.geometry import CHUNK, RING
+from regioflux.operators.geometry import CHUNK, RING, in_blocks
 from regioflux.operators.tables import left_join
 
 POLYGON_VERTICES = 100000
@@ -105,10 +105,15 @@ def features(
     written as LineString pieces of bounded length, all with the properties of the region, because one
     feature is a single value of a single task.
     """
-    sizes = vertices.groupBy("geo_id").agg(F.count("*").alias("size"))
-    sized = vertices.join(sizes, "geo_id")
-    point = F.array("x", "y")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("at")))), lambda p: p["at"])
+    piece = [*RING, "block"]
+    points = F.collect_list(F.struct("seq", F.array("x", "y").alias("at")))
+    paths = in_blocks(vertices, chunk).groupBy(*piece).agg(points.alias("points"))
+    lengths = paths.select(*piece, F.size("points").alias("length"))
+    sizes = lengths.groupBy("geo_id").agg(F.sum("length").alias("size"))
+    sized = paths.join(lengths.join(sizes, "geo_id").select(*piece, "size"), piece)
+
+    def line(entries: Column) -> Column:
+        return F.transform(F.array_sort(entries), lambda entry: entry["at"])
 
     def in_order(key: str, item: str) -> Column:
         listed = F.array_sort(F.collect_list(F.struct(key, item)))
@@ -117,7 +122,8 @@ def features(
     polygons = (
         sized.where(F.col("size") <= polygon_vertices)
         .groupBy(*RING)
-        .agg(path.alias("path"))
+        # The vertices at the block borders come twice.
+        .agg(line(F.array_distinct(F.flatten(F.collect_list("points")))).alias("path"))
         .groupBy("geo_id", "part")
         .agg(in_order("ring", "path").alias("rings"))
         .groupBy("geo_id")
@@ -127,17 +133,9 @@ def features(
             F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), "coordinates")).alias("shape"),
         )
     )
-    block = F.floor(F.col("seq") / chunk)
-    on_border = (F.col("seq") % chunk == 0) & (block > 0)
     pieces = (
-        sized.where(F.col("size") > polygon_vertices)
-        .withColumn(
-            "block",
-            F.explode(F.when(on_border, F.array(block - 1, block)).otherwise(F.array(block))),
-        )
-        .groupBy(*RING, "block")
-        .agg(path.alias("coordinates"))
-        .where(F.size("coordinates") > 1)
+        sized.where((F.col("size") > polygon_vertices) & (F.size("points") > 1))
+        .withColumn("coordinates", line(F.col("points")))
         .select(
             "geo_id",
             F.to_json(F.struct(F.lit("LineString").alias("type"), "coordinates")).alias("shape"),
