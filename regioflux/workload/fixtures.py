@@ -218,37 +218,29 @@ def county_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("state_from").orderBy("county_from", "state_to")
     placed = county_records(spark, sf_dir).withColumn("row", F.row_number().over(order) + 3)
     row = F.col("row")
-    cells = placed.select(
-        F.lit("counties.xlsx").alias("file"),
-        F.col("state_from").alias("sheet"),
-        F.lit(None).cast("int").alias("year"),
-        F.inline(
-            F.array(
-                _cell(row, F.lit(1), F.lit("code")),
-                _cell(row, F.lit(5), F.col("state_from")),
-                _cell(row, F.lit(6), F.col("county_from")),
-                _cell(row, F.lit(7), F.col("state_to")),
-                _cell(row, F.lit(8), F.col("county_to")),
-                _cell(row, F.lit(9), F.col("inflow")),
-                _cell(row, F.lit(10), F.lit("margin")),
-                _cell(row, F.lit(11), F.col("outflow")),
-                _cell(row, F.lit(12), F.lit("margin")),
-                _cell(row, F.lit(13), F.col("net_migration")),
-            )
-        ),
+    columns = {
+        1: F.lit("code"),
+        5: F.col("state_from"),
+        6: F.col("county_from"),
+        7: F.col("state_to"),
+        8: F.col("county_to"),
+        9: F.col("inflow"),
+        10: F.lit("margin"),
+        11: F.col("outflow"),
+        12: F.lit("margin"),
+        13: F.col("net_migration"),
+    }
+    record = F.array(*[_cell(row, F.lit(col), value) for col, value in columns.items()])
+    # Texts above the data in the data columns, which must not reach the result.
+    head = F.array(
+        *[_cell(F.lit(r), F.lit(c), F.lit(f"head {r}")) for r in (1, 2, 3) for c in (5, 6, 9)]
     )
-    # Head rows in the data columns, which must not reach the result.
-    heads = placed.where(row == 4).select(
+    return placed.select(
         F.lit("counties.xlsx").alias("file"),
         F.col("state_from").alias("sheet"),
         F.lit(None).cast("int").alias("year"),
-        F.inline(
-            F.array(
-                *[_cell(F.lit(r), F.lit(c), F.lit(f"head {r}")) for r in (1, 2, 3) for c in (5, 6, 9)]
-            )
-        ),
+        F.inline(F.when(row == 4, F.concat(head, record)).otherwise(record)),
     )
-    return cells.unionByName(heads)
 
 
 def county_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:

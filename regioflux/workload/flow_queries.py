@@ -11,6 +11,7 @@ from regioflux.operators import matrix
 from regioflux.operators.layers import flow_lines
 from regioflux.operators.ranks import sorted_desc, top_with_ties
 from regioflux.operators.tables import keep_regions, rename, stack
+from regioflux.session import settled
 from regioflux.sources.workbook import assign_years, workbook_cells
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
@@ -211,7 +212,8 @@ def flow_clean(spark: SparkSession, sf: str) -> DataFrame:
     ("pair_year",),
 )
 def matrix_header(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.flows_from_cells(fx.state_cells(spark, sf), fx.NATIONS)
+    cells = settled(fx.state_cells(spark, sf), "cells")
+    return matrix.flows_from_cells(cells, fx.NATIONS)
 
 
 @query(
@@ -223,7 +225,8 @@ def matrix_header(spark: SparkSession, sf: str) -> DataFrame:
     ("pair_year",),
 )
 def matrix_unpivot(spark: SparkSession, sf: str) -> DataFrame:
-    wide = matrix.matrix_from_cells(fx.state_cells(spark, sf), fx.NATIONS)
+    cells = settled(fx.state_cells(spark, sf), "cells")
+    wide = matrix.matrix_from_cells(cells, fx.NATIONS)
     return matrix.flows_from_matrix(wide)
 
 
