@@ -20,8 +20,9 @@ MAX_BINS = 512
 
 
 def _bins(df: DataFrame) -> int:
+    # A few bins per task even out what hashing the bins to tasks leaves uneven.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(parts, MAX_BINS))
+    return min(4 * parts, MAX_BINS)
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -41,15 +42,21 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
+def _keys(columns: Sequence[str]) -> list[str]:
+    """The field is a key only among several columns. As a constant it would get in the way of sharing shuffles."""
+    return ["field"] if len(columns) > 1 else []
+
+
 def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, value, copies); the row with a null value counts the missing ones."""
-    return long_values(df, columns).groupBy("field", "value").agg(F.count("*").alias("copies"))
+    counted = long_values(df, columns).groupBy(*_keys(columns), "value").agg(F.count("*").alias("copies"))
+    return counted if len(columns) > 1 else counted.withColumn("field", F.lit(columns[0]))
 
 
 def cumulate(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(field, value, copies, below, total) from a histogram; missing values are left out."""
     hist = hist.where(F.col("value").isNotNull())
-    bins = _bins(hist)
+    bins, keys = _bins(hist), _keys(columns)
     steps = [i / bins for i in range(1, bins)]
 
     def cuts(name: str) -> Column:
@@ -65,25 +72,27 @@ def cumulate(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     # A bin that cannot be null spares the joins below a null filter, which would sink under the
     # histogram and evaluate the cuts once per row instead of once per value.
-    binned = hist.withColumn("bin", F.coalesce(lower_cuts - 1, F.lit(0)))
+    binned = hist.withColumn("bin", F.coalesce(lower_cuts - 1, F.lit(0))).repartition(*keys, "bin")
 
-    ordered = Window.partitionBy("field").orderBy("bin")
+    ordered = Window.partitionBy(*keys).orderBy("bin")
     offsets = (
-        binned.groupBy("field", "bin")
-        .agg(F.sum("copies").alias("held"))
+        binned.groupBy(*keys, "bin")
+        .agg(F.sum("copies").alias("held"), F.max("value").alias("last"))
+        # Always true. It keeps the value, so that the totals and the running sums share the shuffle.
+        .where(F.col("last").isNotNull())
         .select(
-            "field",
+            *keys,
             "bin",
             (F.sum("held").over(ordered) - F.col("held")).alias("offset"),
-            F.sum("held").over(Window.partitionBy("field")).alias("total"),
+            F.sum("held").over(Window.partitionBy(*keys)).alias("total"),
         )
     )
-    inside = Window.partitionBy("field", "bin").orderBy("value")
+    inside = Window.partitionBy(*keys, "bin").orderBy("value")
     running = F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
         binned.withColumn("running", running)
         # One row per bin and field, so never more than MAX_BINS rows per ranked column.
-        .join(F.broadcast(offsets), ["field", "bin"])
+        .join(F.broadcast(offsets), [*keys, "bin"])
         .select(
             "field",
             "value",
