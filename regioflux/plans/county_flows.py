@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from regioflux.functions.classes import bin_index, bin_label
 from regioflux.functions.missing import not_in
