@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import quality, secret_scan
+from regioflux.llm import packing, quality, secret_scan
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +60,18 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"),
         secret_scan.joined("spans").alias("spans"),
     )
+
+
+TOKENIZER = "byte_bpe_50k.json"
+CAPACITY = 1024
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of the documents with a digest of their ids in place of the ids, packed."""
+    pieces = packing.tokenized(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), capacity=CAPACITY)
+    return packing.pack(written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), CAPACITY)
+
+
+@query()
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
