@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import packing, quality, secret_scan
+from regioflux.llm import jaccard, packing, quality, secret_scan
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,11 @@ def packed(docs: DataFrame) -> DataFrame:
 @query()
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+JACCARD = jaccard.Rule(k=4, num=85, den=100)
+
+
+@query()
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), JACCARD)
