@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import jaccard, packing, quality, secret_scan
+from regioflux.llm import decontaminate, jaccard, licenses, packing, quality, secret_scan
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,25 @@ JACCARD = jaccard.Rule(k=4, num=85, den=100)
 @query()
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), JACCARD)
+
+
+@query()
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_spans = F.transform("spans", lambda x: x["label"])
+    score = F.greatest(F.lit(0.0), F.array_max(F.transform("spans", lambda x: x["covered"])), F.when(F.size("base_places") > 0, 0.5))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min("base_places").alias("first_word"),
+        F.array_max("base_places").alias("last_word"),
+        F.array_join("base_names", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base_names", of_spans))), ",").alias("labels"),
+        F.least(F.lit(1.0), score).alias("score"),
+    )
+
+
+@query()
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

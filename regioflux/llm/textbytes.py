@@ -154,3 +154,46 @@ def shingles(prints: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
                 value += mix(prints[first[some] + j] + _step(j + 1))
             out[at[some]] = mix(value)
     return mix(out), made
+
+
+def prefixes(found: Words, letters: int) -> tuple[Words, np.ndarray]:
+    """The first code points of each word that has at least so many, and which words those are."""
+    heads = np.flatnonzero((found.data & 0xC0) != 0x80)
+    at = np.searchsorted(heads, found.starts) + letters
+    past = np.append(heads, len(found.data))[np.minimum(at, len(heads))]
+    some = np.flatnonzero((at <= len(heads)) & (past <= found.ends))
+    return Words(found.data, found.starts[some], past[some], found.first), some
+
+
+class Lookup:
+    """Numbers of known fingerprints; -1 for others."""
+
+    BITS = 16
+
+    def __init__(self, known: np.ndarray) -> None:
+        order = np.argsort(known)
+        self.known, self.number = known[order], order
+        self.may = np.zeros(1 << self.BITS, dtype=bool)
+        self.may[self._cell(known)] = True
+
+    def _cell(self, prints: np.ndarray) -> np.ndarray:
+        return (prints >> np.uint64(64 - self.BITS)).astype(np.intp)
+
+    def __call__(self, prints: np.ndarray) -> np.ndarray:
+        out = np.full(len(prints), -1, dtype=np.int64)
+        if len(self.known):
+            some = np.flatnonzero(self.may[self._cell(prints)])
+            at = np.minimum(np.searchsorted(self.known, prints[some]), len(self.known) - 1)
+            right = self.known[at] == prints[some]
+            out[some[right]] = self.number[at[right]]
+        return out
+
+
+def fingerprints_of(texts: list[str], inside: np.ndarray = NOT_SPACE) -> list[np.ndarray]:
+    """The words' fingerprints of each of some texts, all on the driver: for word lists and test items."""
+    out: list[np.ndarray] = []
+    for part in slices(pa.array(texts, type=pa.string())):
+        found = words(part, inside)
+        prints = fingerprints(found)
+        out += [prints[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+    return out
