@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import decontaminate, jaccard, licenses, packing, quality, secret_scan
+from regioflux.llm import decontaminate, jaccard, licenses, packing, quality, secret_scan, toxicity
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.add_severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "severity", "toxic_score", (F.col("toxic_score") >= 0.5).cast("int").alias("toxic"))
