@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import decontaminate, jaccard, licenses, packing, quality, secret_scan, toxicity
+from regioflux.llm import decontaminate, jaccard, licenses, packing, quality, secret_scan, toxicity, url_cascade
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,39 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.add_severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "severity", "toxic_score", (F.col("toxic_score") >= 0.5).cast("int").alias("toxic"))
+
+
+#: Host, path and verdict of the base rules.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query(
+    r"""
+    WITH parsed AS (
+        SELECT page_id,
+               translate(coalesce(regexp_extract(url, '^(.|\n)*?://([^/?#]*)([^?#]*)', 2), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '^(.|\n)*?://([^/?#]*)([^?#]*)', 3), '') AS path
+        FROM pages
+    ), rules(rule_host, rule_path, verdict) AS (
+        VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+               ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+    ), fits AS (
+        SELECT p.page_id, p.host, p.path, max_by(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) AS rule,
+               max_by(r.verdict, length(r.rule_host || r.rule_path)) AS verdict
+        FROM parsed p LEFT JOIN rules r
+          ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+        GROUP BY ALL
+    )
+    SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+    FROM parsed p JOIN (SELECT DISTINCT host, path, rule, verdict FROM fits) f ON p.host = f.host AND p.path = f.path
+    """
+)
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_cascade.judge(table(spark, sf_dir, "pages"), rules)
