@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import decontaminate, jaccard, licenses, packing, quality, secret_scan, toxicity, url_cascade
+from regioflux.llm import covertree, decontaminate, jaccard, licenses, packing, quality, secret_scan, toxicity, url_cascade
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,8 @@ URL_RULES = (
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_cascade.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query()
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
