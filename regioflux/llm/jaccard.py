@@ -11,10 +11,12 @@ There are more units than a set must spend, and it saves the costliest ones: fir
 once the keys are counted over the whole corpus, those with the most holders. So keys that very many unlike
 sets share are not followed.
 
-Sets that are equal share a fingerprint and count as one. A key's holders are first compared with one of them; what links is merged
-into components, and only holders of different components are then compared pair by pair, the
-larger component of a key on one side. So a group of thousands of near copies costs as many comparisons as it has
-members for each key. All comparisons are exact, on sorted 64-bit fingerprints of shingles.
+Sets that are equal share a fingerprint and count as one. A key's holders are first compared with the heaviest of them, the one whose keys have
+most holders (of a group of near copies, that is the text they were made from); what links is merged into components. Sets
+that a key still joins with another component are indexed again among themselves, every element a segment of its own: a set of
+size n shares at least t * n elements with any set linked to it, so it asks with its n - ceil(t * n) + 1 rarest elements. Those are
+mostly the elements that set a text apart, so thousands of loose relatives, which share most of their segments, do not all meet. Of two sets
+the lighter one asks. All comparisons are exact, on sorted 64-bit fingerprints of shingles.
 
 Defined cases: texts that are null, empty or without words have no shingles and link with nothing; fewer than k words make one
 shingle; repeated rows are each kept; an empty table gives no rows.
@@ -103,13 +105,13 @@ def set_prints(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return textbytes.mix(_sums(textbytes.mix(values ^ _U(_SEED)), owner, len(counts)) + textbytes.mix(counts.astype(np.uint64)))
 
 
-#: Places of a row's parts in its tag: band, own band or a visit, exact or one-deletion, units to save, segment.
-_BAND, _OWN, _KIND, _SLACK = 50, 49, 48, 24
+#: Places of a row's parts in its tag: whether empty segments are still among its own, band, own band or a visit, exact or
+#: one-deletion, units to save, segment.
+_FULL, _BAND, _OWN, _KIND, _SLACK = 62, 50, 49, 48, 24
 
 
-def _keys(values: np.ndarray, counts: np.ndarray, band: np.ndarray, own: bool, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keys(values: np.ndarray, counts: np.ndarray, band: np.ndarray, own: bool, b: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, owners and tags of sets in the given band each."""
-    b = bands(rule.num, rule.den)
     m, deletions, slack = b.segments[band], b.deletions[band], b.slack[band]
     n = len(counts)
     owner = np.repeat(np.arange(n), counts)
@@ -130,7 +132,7 @@ def _keys(values: np.ndarray, counts: np.ndarray, band: np.ndarray, own: bool, r
     slack = np.where(saves, slack - empties, slack)
     kept = ~(empty & saves[of])
     cut = segment < deletions[owner]
-    tag = (band << _BAND) | (int(own) << _OWN) | (slack << _SLACK)
+    tag = ((~saves).astype(np.int64) << _FULL) | (band << _BAND) | (int(own) << _OWN) | (slack << _SLACK)
     keys = np.concatenate([textbytes.mix(sums[kept] + salt[kept]), textbytes.mix(sums[at[cut]] - hashed[cut] + salt[at[cut]])])
     owners = np.concatenate([of[kept], owner[cut]])
     tags = np.concatenate([tag[of[kept]] | number[kept], tag[owner[cut]] | (1 << _KIND) | segment[cut]])
@@ -184,17 +186,15 @@ def index(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
                 ends = np.cumsum(counts)
                 for some, band, own in _placed(np.where(fresh, counts, 0), rule):
                     pick = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in some.tolist()])
-                    keys, owners, tags = _keys(values[pick], counts[some], band, own, rule)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(prints[some][owners].view(np.int64)), pa.array(tags)],
-                        names=["key", "print", "tag"],
-                    )
+                    keys, owners, tags = _keys(values[pick], counts[some], band, own, bands(rule.num, rule.den))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(prints[some][owners].view(np.int64)), pa.array(tags)], names=["key", "print", "tag"])
 
     return docs.select(text).mapInArrow(run, "key long, print long, tag long")
 
 
 def holders(rows: DataFrame, rule: Rule) -> DataFrame:
-    """The index rows of keys that different sets hold, with the units (0 to 2) each set spends on the segment."""
+    """The index rows of keys that different sets hold, with the units (0 to 2) each set spends on the segment, and its weight:
+    how many other holders all its keys have, which is largest for the set in the middle of a group of near copies."""
     key = Window.partitionBy("key")
     shared = (
         rows.withColumns({"_low": F.min("print").over(key), "_high": F.max("print").over(key)})
@@ -205,7 +205,7 @@ def holders(rows: DataFrame, rule: Rule) -> DataFrame:
     )
     part = lambda at, bits: F.shiftright("tag", at).bitwiseAND((1 << bits) - 1)
     shared = shared.select(
-        "key", "print", "cost", part(_BAND, 12).alias("band"), part(_OWN, 1).alias("own"), part(_KIND, 1).alias("kind"),
+        "key", "print", "cost", part(_FULL, 1).alias("full"), part(_BAND, 12).alias("band"), part(_OWN, 1).alias("own"), part(_KIND, 1).alias("kind"),
         part(_SLACK, 24).alias("slack"), part(0, 24).alias("segment"),
     )
     shared = written(shared, "shared-keys")
@@ -228,7 +228,8 @@ def holders(rows: DataFrame, rule: Rule) -> DataFrame:
         .groupBy(*place)
         .agg(F.sum(F.when((F.col("rank") <= F.col("slack")) & (F.col("x.cost") > 0), 0).otherwise(1)).alias("units"))
     )
-    return shared.join(spent, place).select("key", "print", "own", "kind", "units")
+    weight = shared.groupBy("print").agg(F.sum("cost").alias("weight"))
+    return shared.join(spent, place).join(weight, "print").select("key", "print", "full", "own", "kind", "units", "weight")
 
 
 def _asks(one: str, other: str) -> F.Column:
@@ -237,30 +238,78 @@ def _asks(one: str, other: str) -> F.Column:
     return ((F.col(f"{one}units") >= 1) & (kinds == 0)) | ((F.col(f"{one}units") == 2) & (kinds < 2))
 
 
-def first_pairs(held: DataFrame) -> DataFrame:
-    """Pairs of each key's least asking holder with the others."""
+def star_pairs(held: DataFrame) -> DataFrame:
+    """Pairs of each key's heaviest asking holder with the others."""
     key = Window.partitionBy("key")
     asking = (F.col("units") >= 1) & (F.col("kind") == 0)
-    least = F.min(F.when(asking, F.struct((1 - F.col("own")).alias("visit"), "print", "units", "own", "kind"))).over(key)
-    found = held.withColumn("c", least).filter(F.col("c.print") != F.col("print"))
-    found = found.select(F.col("print").alias("x"), "own", "kind", F.col("c.print").alias("c"), F.col("c.own").alias("c_own"), F.col("c.units").alias("c_units"), F.col("c.kind").alias("c_kind"))
-    found = found.filter(((F.col("own") + F.col("c_own")) > 0) & _asks("c_", ""))
-    return found.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
+    heaviest = F.max(F.when(asking, F.struct("own", "weight", "print", "units", "kind"))).over(key)
+    found = held.withColumn("c", heaviest).filter(F.col("c.print") != F.col("print"))
+    found = found.select(F.col("print").alias("x"), "own", "kind", *(F.col(f"c.{n}").alias(f"c_{n}") for n in ("print", "own", "units", "kind")))
+    found = found.filter((F.col("own") + F.col("c_own") > 0) & _asks("c_", ""))
+    return found.select(F.least("x", "c_print").alias("a"), F.greatest("x", "c_print").alias("b")).distinct()
+
+
+def _mixed(held: DataFrame, merged: DataFrame) -> DataFrame:
+    """The holders, with their component, of keys whose holders lie in several components."""
+    key = Window.partitionBy("key")
+    named = held.join(merged.select(F.col("node").alias("print"), "component"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    ends = {"_low": F.min("component").over(key), "_high": F.max("component").over(key)}
+    return named.withColumns(ends).filter("_low <> _high").drop(*ends)
 
 
-def other_pairs(held: DataFrame, groups: DataFrame, done: DataFrame) -> DataFrame:
-    """Candidates of different components that have not been compared, each key's smaller components against all its holders."""
+def loose(held: DataFrame, merged: DataFrame) -> DataFrame:
+    """(print) of the sets that a key makes a candidate with a set of another component."""
     key = Window.partitionBy("key")
-    named = held.join(groups.select(F.col("node").alias("print"), "component"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    named = named.withColumns({"_low": F.min("component").over(key), "_high": F.max("component").over(key)}).filter("_low <> _high").drop("_low", "_high")
-    most = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"))
-    named = written(named.join(most.select("key", F.col("most.component").alias("most")), "key"), "mixed-keys")
-    few = named.filter("component <> most").select("key", *(F.col(c).alias(f"p_{c}") for c in ("print", "own", "kind", "units", "component")))
-    both = few.join(named, "key").filter(
+    by_weight = F.struct("weight", "print", "component")
+    other = lambda best: F.col("component") != F.col(f"{best}.component")
+    # A set that kept empty segments asks heavier ones too: it and those it asks count as if it were the lightest and the heaviest.
+    asks = F.when(F.col("units") >= 1, F.struct(F.when(F.col("full") == 1, -1).otherwise(F.col("weight")).alias("weight"), "print", "component"))
+    found = _mixed(held, merged).withColumns({"top": F.max(by_weight).over(key), "low": F.min(asks).over(key), "full_asks": F.max(F.col("full") * (F.col("units") >= 1).cast("int")).over(key)})
+    found = found.withColumns({"top2": F.max(F.when(other("top"), by_weight)).over(key), "low2": F.min(F.when(other("low"), asks)).over(key)})
+    heavier = F.when(other("top"), F.col("top")).otherwise(F.col("top2"))
+    lighter = F.when(other("low"), F.col("low")).otherwise(F.col("low2"))
+    asking = (F.col("units") >= 1) & (F.struct("weight", "print") < F.struct(heavier["weight"], heavier["print"]))
+    asked = F.struct(lighter["weight"], lighter["print"]) < F.struct("weight", "print")
+    return found.filter(F.coalesce(asking, F.lit(False)) | F.coalesce(asked, F.lit(False)) | (F.col("full_asks") == 1)).select("print").distinct()
+
+
+def elements(stored: DataFrame, rule: Rule) -> DataFrame:
+    """Every element of the sets (print, shingles) that several hold, its place among its set's elements from the rarest on, and
+    whether its set asks with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                cells = [c.as_buffer() for c in batch.column(1)[start : start + 256]]
+                counts = np.array([len(c) // 8 for c in cells], dtype=np.int64)
+                owner = np.repeat(np.arange(len(cells)), counts)
+                values = pa.array(np.frombuffer(b"".join(cells), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([values, batch.column(0)[start : start + 256].take(pa.array(owner)), pa.array(counts[owner])], names=["key", "print", "n"])
+
+    rows = stored.select("print", "shingles").mapInArrow(run, "key long, print long, n long")
+    shared = rows.withColumn("cost", F.count("*").over(Window.partitionBy("key")) - 1).filter("cost > 0")
+    own = Window.partitionBy("print")
+    spend = F.col("n") - F.floor((F.col("n") * rule.num + rule.den - 1) / rule.den) + 1
+    alone = F.col("n") - F.count("*").over(own)
+    place = F.row_number().over(own.orderBy("cost", "key")) + alone
+    shared = shared.withColumns({"weight": F.sum("cost").over(own), "place": place})
+    return shared.select("key", "print", "n", "weight", "place", (F.col("place") <= spend).alias("asks"))
+
+
+def other_pairs(shared: DataFrame, merged: DataFrame, done: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of sets of different components where the lighter one asks with a shared element; not those done.
+
+    If that is the first element they share, from the rarest on, they share no more than it and what either has left; a pair that links
+    passes this bound there.
+    """
+    named = written(_mixed(shared, merged), "mixed-elements")
+    asking = named.filter("asks").select("key", *(F.col(c).alias(f"p_{c}") for c in ("print", "n", "weight", "place", "component")))
+    most = F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) + 1
+    both = asking.join(named, "key").filter(
         (F.col("p_component") != F.col("component"))
-        & ((F.col("component") == F.col("most")) | (F.col("p_print") < F.col("print")))
-        & (F.col("own") + F.col("p_own") > 0)
-        & (_asks("p_", "") | _asks("", "p_"))
+        & (F.struct("p_weight", "p_print") < F.struct("weight", "print"))
+        & (F.least("n", "p_n") * rule.den >= F.greatest("n", "p_n") * rule.num)
+        & (most * (rule.num + rule.den) >= (F.col("n") + F.col("p_n")) * rule.num)
     )
     pairs = both.select(F.least("print", "p_print").alias("a"), F.greatest("print", "p_print").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
@@ -310,12 +359,13 @@ def groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text")
     """(key, n_shingles, component_id) of every row; component_id is the least key reachable by links."""
     known = written(digests(docs, rule.k, key, text), "set-prints")
     held = written(holders(index(docs, rule, text), rule), "key-holders")
-    asked = held.withColumn("asked", F.max("units").over(Window.partitionBy("key"))).filter("asked > 0")
-    stored = written(stored_sets(docs, known, asked.select("print").distinct(), rule.k, key, text), "sets")
-    pairs = written(first_pairs(held), "first-pairs")
+    stored = written(stored_sets(docs, known, held.select("print").distinct(), rule.k, key, text), "sets")
+    pairs = written(star_pairs(held), "first-pairs")
     links = written(linked(pairs, stored, rule), "first-links")
     merged = written(components(links), "first-groups")
-    more = written(linked(written(other_pairs(held, merged, pairs), "other-pairs"), stored, rule), "other-links")
+    again_asked = stored.join(loose(held, merged), "print", "left_semi")
+    pairs = written(other_pairs(elements(again_asked, rule), merged, pairs, rule), "other-pairs")
+    more = written(linked(pairs, stored, rule), "other-links")
     again = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     of_print = known.filter("n_shingles > 0").groupBy("print").agg(F.min(key).alias("_least"))
     of_print = of_print.join(again.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))

@@ -34,6 +34,8 @@ REMEMBERED_IDS = 1 << 23
 #: Bytes of text that are tokenized together.
 SLICE = 1 << 20
 BUCKETS_PER_PARTITION = 8
+#: Marks that end words; none of them is in the splitting pattern's shortened forms.
+MARKS = ".,;:!?*&%$#|"
 
 
 class _Memory:
@@ -45,6 +47,10 @@ class _Memory:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = end
+        # Fixed values of byte-level tokenizers: printable bytes stand for themselves, the others for code points from 256.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.units = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.clear()
 
     def clear(self) -> None:
@@ -55,17 +61,60 @@ class _Memory:
         self.size = np.ones(1, dtype=np.int64)
         self.apart = np.ones(1, dtype=bool)
 
-    def learn(self, known: dict[str, int], words: list[str], before: str) -> None:
-        new = list(dict.fromkeys(words))
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([before + w for w in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    def _encoded(self, words: list[str], before: str) -> list[list[int]]:
+        """Ids of words that stand alone. A word of letters is one unit before the merges, so it goes straight to them."""
+        found: list[list[int] | None] = [None] * len(words)
+        for i, w in enumerate(words):
+            if w.isalpha():
+                units = (before + w).encode().decode("latin1").translate(self.units)
+                found[i] = [x.id for x in self.tokenizer.model.tokenize(units)]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([before + words[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = x.ids
+        return found
+
+    def _add(self, known: dict[str, int], words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         start = len(self.begin)
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, *(np.array(x, dtype=np.uint32) for x in found)])
+        self.ids = np.concatenate([self.ids, ids])
         # A word that is empty or has white space at an end touches the space beside it: the split there isn't sure.
-        self.apart = np.concatenate([self.apart, np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new), dtype=bool, count=len(new))])
-        known.update(zip(new, range(start, start + len(new)), strict=True))
+        self.apart = np.concatenate([self.apart, np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words), dtype=bool, count=len(words))])
+        known.update(zip(words, range(start, start + len(words)), strict=True))
+
+    def _learn_parts(self, known: dict[str, int], words: list[str], before: str) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            found = self._encoded(new, before)
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self._add(known, new, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum())), size)
+
+    def learn(self, known: dict[str, int], words: list[str], before: str) -> None:
+        """A word is put together from its parts where it is sure to be split: around a single line end, and between
+        letters and the marks that end them."""
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        parts: list[list[tuple[bool, str]]] = []
+        for w in new:
+            lines = w.split("\n")
+            if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                lines = [w]
+            own: list[tuple[bool, str]] = []
+            for i, line in enumerate(lines):
+                if i:
+                    own.append((False, "\n"))
+                core = line.rstrip(MARKS)
+                own += [(not i, core), (False, line[len(core) :])] if core != line and core.isalpha() else [(not i, line)]
+            parts.append(own)
+        whole = [w for w, own in zip(new, parts, strict=True) if len(own) == 1]
+        self._learn_parts(known, whole + [x for own in parts for spaced, x in own if spaced], before)
+        self._learn_parts(self.first, [x for own in parts for spaced, x in own if not spaced], "")
+        made = [(w, own) for w, own in zip(new, parts, strict=True) if len(own) > 1]
+        if made:
+            at = np.fromiter((known[x] if spaced else self.first[x] for _, own in made for spaced, x in own), dtype=np.int64)
+            counts = np.fromiter((len(own) for _, own in made), dtype=np.int64, count=len(made))
+            size = self.size[at]
+            ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.begin[at] - (np.cumsum(size) - size), size)]
+            self._add(known, [w for w, _ in made], ids, np.add.reduceat(size, np.cumsum(counts) - counts))
 
     def look_up(self, known: dict[str, int], words: list[str], before: str) -> np.ndarray:
         at = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
