@@ -1,7 +1,7 @@
 """Region geometry as a vertex table (geo_id, part, ring, seq, x, y).
 
 Rings are closed: the last vertex repeats the first. Ring 0 is the shell, further rings are holes. seq
-counts up by one within a ring. Attributes live in their own table and meet the geometry only on export.
+grows within a ring; it may leave numbers out. Attributes live in their own table and meet the geometry only on export.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ DEGREES = 4326
 def in_blocks(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Vertices with a block number: rings cut into pieces of bounded length.
 
-    Neighbouring blocks share their border vertex. Grouping by ring and block spreads a ring of any length
-    over many tasks.
+    Every block also holds the first vertex of the next block that exists, whatever seq leaves out, so that blocks
+    join up. Grouping by ring and block spreads a ring of any length over many tasks; the order of a ring's blocks comes
+    from one row for each block.
     """
-    block = F.floor(F.col("seq") / chunk)
-    on_border = (F.col("seq") % chunk == 0) & (block > 0)
-    blocks = F.when(on_border, F.array(block - 1, block)).otherwise(F.array(block))
-    return vertices.select(*RING, "seq", "x", "y", F.explode(blocks).alias("block"))
+    cut = vertices.select(*RING, "seq", "x", "y", F.floor(F.col("seq") / chunk).alias("block"))
+    heads = cut.groupBy(*RING, "block").agg(F.min(F.struct("seq", "x", "y")).alias("head"))
+    before = F.lag("block").over(Window.partitionBy(*RING).orderBy("block"))
+    borders = heads.withColumn("before", before).where(F.col("before").isNotNull())
+    return cut.unionByName(borders.select(*RING, "head.*", F.col("before").alias("block")))
 
 
 def ring_edges(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:

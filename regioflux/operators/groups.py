@@ -54,17 +54,27 @@ def count_wide(
     df: DataFrame,
     key: str,
     column: str,
-    values: Mapping[str, str] | Sequence[str],
+    values: Mapping[str, str] | Sequence[str] | None = None,
     sums: Mapping[str, str] | None = None,
+    rest: str | None = None,
 ) -> DataFrame:
-    """Rows per key with one count column per listed value, 0 where there is none.
+    """Rows per key with one count column per value, 0 where there is none.
 
-    values is a list, or {value: column name}. sums {result: column} adds null-safe totals to the same pass.
-    Conditional counts need one shuffle, a pivot two.
+    values is a list, or {value: column name}; without it all values that occur get a column. A value that is not listed is
+    counted in the column named by rest, and is an error if there is none. sums {result: column} adds null-safe totals to the
+    same pass. Conditional counts need one shuffle, a pivot two.
     """
+    if values is None:
+        values = sorted(r[0] for r in df.select(column).distinct().na.drop().collect())  # as many as the result has columns
     labels = values if isinstance(values, Mapping) else {v: v for v in values}
+    other = not_in(df[column], list(labels)) & df[column].isNotNull()
+    if rest is None:
+        unlisted = F.raise_error(F.concat(F.lit(f"unlisted value of {column}: "), df[column].cast("string")))
+        df = df.withColumn(column, F.when(other, unlisted.cast(df.schema[column].dataType)).otherwise(df[column]))
     counts: list[Column] = [
         F.count_if(F.col(column) == value).alias(name) for value, name in labels.items()
     ]
     totals = [sum0(df[c]).alias(name) for name, c in (sums or {}).items()]
+    if rest is not None:
+        counts.append(F.count_if(other).alias(rest))
     return df.groupBy(key).agg(*totals, *counts)

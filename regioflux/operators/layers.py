@@ -12,8 +12,6 @@ from regioflux.functions.text import paste
 from regioflux.operators.geometry import CHUNK, RING, in_blocks
 from regioflux.operators.tables import left_join
 
-POLYGON_VERTICES = 100000
-
 
 def choropleth(
     df: DataFrame,
@@ -91,69 +89,59 @@ def indicator_geometry(df: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return left_join(df, boxes, {key: key})
 
 
-def features(
-    regions: DataFrame,
-    vertices: DataFrame,
-    key: str,
-    properties: Sequence[str],
-    polygon_vertices: int = POLYGON_VERTICES,
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """GeoJSON features as one text column.
+def _ordered(entries: Column, item: str) -> Column:
+    return F.transform(F.array_sort(entries), lambda entry: entry[item])
+
+
+def features(regions: DataFrame, vertices: DataFrame, key: str, properties: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """GeoJSON features as one text column: one MultiPolygon for each region, however large its outline is.
 
-    A region of up to polygon_vertices vertices becomes one MultiPolygon feature. The outline of a larger one is
-    written as LineString pieces of bounded length, all with the properties of the region, because one
-    feature is a single value of a single task.
+    Rings are put in order block by block. outline_pieces writes an outline in parts of bounded length.
     """
-    piece = [*RING, "block"]
-    points = F.collect_list(F.struct("seq", F.array("x", "y").alias("at")))
-    paths = in_blocks(vertices, chunk).groupBy(*piece).agg(points.alias("points"))
-    lengths = paths.select(*piece, F.size("points").alias("length"))
-    sizes = lengths.groupBy("geo_id").agg(F.sum("length").alias("size"))
-    sized = paths.join(lengths.join(sizes, "geo_id").select(*piece, "size"), piece)
-
-    def line(entries: Column) -> Column:
-        return F.transform(F.array_sort(entries), lambda entry: entry["at"])
-
-    def in_order(key: str, item: str) -> Column:
-        listed = F.array_sort(F.collect_list(F.struct(key, item)))
-        return F.transform(listed, lambda entry: entry[item])
-
-    polygons = (
-        sized.where(F.col("size") <= polygon_vertices)
+    at = F.array("x", "y").alias("at")
+    shapes = (
+        vertices.withColumn("block", F.floor(F.col("seq") / chunk))
+        .groupBy(*RING, "block")
+        .agg(_ordered(F.collect_list(F.struct("seq", at)), "at").alias("points"))
         .groupBy(*RING)
-        # The vertices at the block borders come twice.
-        .agg(line(F.array_distinct(F.flatten(F.collect_list("points")))).alias("path"))
+        .agg(F.flatten(_ordered(F.collect_list(F.struct("block", "points")), "points")).alias("path"))
         .groupBy("geo_id", "part")
-        .agg(in_order("ring", "path").alias("rings"))
+        .agg(_ordered(F.collect_list(F.struct("ring", "path")), "path").alias("rings"))
         .groupBy("geo_id")
-        .agg(in_order("part", "rings").alias("coordinates"))
-        .select(
-            "geo_id",
-            F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), "coordinates")).alias("shape"),
-        )
+        .agg(_ordered(F.collect_list(F.struct("part", "rings")), "rings").alias("coordinates"))
+        .select("geo_id", _shape("MultiPolygon"))
     )
-    pieces = (
-        sized.where((F.col("size") > polygon_vertices) & (F.size("points") > 1))
-        .withColumn("coordinates", line(F.col("points")))
-        .select(
-            "geo_id",
-            F.to_json(F.struct(F.lit("LineString").alias("type"), "coordinates")).alias("shape"),
-        )
-    )
-    shapes = polygons.unionByName(pieces)
-    named = regions.select(
-        regions[key].alias("geo_id"),
-        F.to_json(
-            F.struct(*[regions[c] for c in properties]), {"ignoreNullFields": "false"}
-        ).alias("properties"),
+    return _features(shapes, regions, key, properties)
+
+
+def outline_pieces(
+    regions: DataFrame, vertices: DataFrame, key: str, properties: Sequence[str], chunk: int = CHUNK
+) -> DataFrame:
+    """GeoJSON LineString features of at most chunk + 1 vertices, with the part, ring and block of each among its properties.
+
+    The blocks of a ring, in order, share their end points.
+    """
+    shapes = (
+        in_blocks(vertices, chunk)
+        .groupBy(*RING, "block")
+        .agg(_ordered(F.collect_list(F.struct("seq", F.array("x", "y").alias("at"))), "at").alias("coordinates"))
+        .where(F.size("coordinates") > 1)
+        .select(*RING, "block", _shape("LineString"))
     )
+    return _features(shapes, regions, key, properties, ("part", "ring", "block"))
+
+
+def _shape(kind: str) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), "coordinates")).alias("shape")
+
+
+def _features(
+    shapes: DataFrame, regions: DataFrame, key: str, properties: Sequence[str], more: Sequence[str] = ()
+) -> DataFrame:
+    named = regions.select(regions[key].alias("geo_id"), F.struct(*[regions[c] for c in properties]).alias("own"))
+    values = F.to_json(F.struct("own.*", *more), {"ignoreNullFields": "false"})
     return shapes.join(named, "geo_id").select(
         F.concat(
-            F.lit('{"type":"Feature","properties":'),
-            F.col("properties"),
-            F.lit(',"geometry":'),
-            F.col("shape"),
-            F.lit("}"),
+            F.lit('{"type":"Feature","properties":'), values, F.lit(',"geometry":'), F.col("shape"), F.lit("}")
         ).alias("feature")
     )

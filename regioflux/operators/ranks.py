@@ -122,16 +122,22 @@ def add_percent_rank(df: DataFrame, column: str, name: str, scale: float = 100.0
 def add_percent_ranks(
     df: DataFrame, key: str, columns: Sequence[str], suffix: str = "_percentile", scale: float = 100.0
 ) -> DataFrame:
-    """Percent ranks of several columns in one set of shuffles; key must identify the rows.
+    """Percent ranks of several columns in one set of shuffles; key must identify the rows, a repeated one is an error.
 
-    The table is read three times; settle an expensive one first.
+    The table is read three times.
     """
     ranks = cumulate(histogram(df, columns), columns).select(
         "field", "value", _percent(scale).alias("pct")
     )
     scored = long_values(df, columns, [key]).join(ranks, ["field", "value"], "left")
+    repeated = F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string"))).cast("double")
     wide = scored.groupBy(key).agg(
-        *[F.max(F.when(F.col("field") == c, F.col("pct"))).alias(c + suffix) for c in columns]
+        *[
+            F.when(F.count_if(F.col("field") == c) > 1, repeated)
+            .otherwise(F.max(F.when(F.col("field") == c, F.col("pct"))))
+            .alias(c + suffix)
+            for c in columns
+        ]
     )
     return df.join(wide, key, "left")
 

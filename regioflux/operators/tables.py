@@ -57,15 +57,9 @@ def split_exact(df: DataFrame, column: str, names: Sequence[str], delim: str = "
 
 
 def points_from_text(df: DataFrame, column: str = "Source") -> DataFrame:
-    """'lat,lon' text to two double columns; values outside the globe become null."""
+    """'lat,lon' text to two double columns, as they are: values beyond the globe are kept."""
     split = split_exact(df, column, ["lat", "lon"])
-    lat, lon = to_number(split["lat"]), to_number(split["lon"])
-    return split.withColumns(
-        {
-            "lat": F.when(F.abs(lat) <= 90, lat),
-            "lon": F.when(F.abs(lon) <= 180, lon),
-        }
-    )
+    return split.withColumns({"lat": to_number(split["lat"]), "lon": to_number(split["lon"])})
 
 
 def keep_regions(df: DataFrame, column: str, regions: Sequence[str] | DataFrame) -> DataFrame:

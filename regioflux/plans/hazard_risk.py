@@ -109,11 +109,15 @@ def state_risk(counties: DataFrame, dropped: Sequence[str] = DISASTER_TERRITORIE
     return rated(scores, "state_risk_score", "risk_percentile", "state_risk_ratng")
 
 
-def id_mismatches(counties: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Risk counties with the display name the boundary table has for their code, null if it has none."""
-    names = boundaries.select("GEOID", paste(F.col("NAMELSAD"), F.col("STUSPS"), sep=", ").alias("Name"))
+def id_mismatches(counties: DataFrame, boundaries: DataFrame, digits: int = 5) -> DataFrame:
+    """Risk counties with the display name the boundary table has for their code, null if it has none.
+
+    Codes are compared, and returned, padded with zeros.
+    """
+    name = paste(F.col("NAMELSAD"), F.col("STUSPS"), sep=", ").alias("Name")
+    names = boundaries.select(pad_code(F.col("GEOID"), digits).alias("GEOID"), name)
     ids = counties.select(
-        F.col("STCOFIPS").alias("GEOID"),
+        pad_code(F.col("STCOFIPS"), digits).alias("GEOID"),
         F.col("COUNTY").alias("County"),
         F.col("STATEABBRV").alias("State"),
     )

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: dict[str, str] = {}
-
 
 def local_session(app: str, cpus: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks. A cluster brings its own session and settings."""
@@ -30,17 +27,11 @@ def local_session(app: str, cpus: int = 8, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
-
-    Only where the setting is absent (single-machine tests) a new local folder stands in for it.
-    """
+    """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir; an error if it is not set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="regioflux-")
-    return _fallback[app]
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -55,4 +46,4 @@ def settled(df: DataFrame, label: str = "settled") -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.parquet(path)

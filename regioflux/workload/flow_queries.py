@@ -11,7 +11,6 @@ from regioflux.operators import matrix
 from regioflux.operators.layers import flow_lines
 from regioflux.operators.ranks import sorted_desc, top_with_ties
 from regioflux.operators.tables import keep_regions, rename, stack
-from regioflux.session import settled
 from regioflux.sources.workbook import assign_years, workbook_cells
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
@@ -212,7 +211,7 @@ def flow_clean(spark: SparkSession, sf: str) -> DataFrame:
     ("pair_year",),
 )
 def matrix_header(spark: SparkSession, sf: str) -> DataFrame:
-    cells = settled(fx.state_cells(spark, sf), "cells")
+    cells = fx.state_cells(spark, sf)
     return matrix.flows_from_cells(cells, fx.NATIONS)
 
 
@@ -225,7 +224,7 @@ def matrix_header(spark: SparkSession, sf: str) -> DataFrame:
     ("pair_year",),
 )
 def matrix_unpivot(spark: SparkSession, sf: str) -> DataFrame:
-    cells = settled(fx.state_cells(spark, sf), "cells")
+    cells = fx.state_cells(spark, sf)
     wide = matrix.matrix_from_cells(cells, fx.NATIONS)
     return matrix.flows_from_matrix(wide)
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regioflux.functions.classes import factor, ordinal, threshold_rating
+from regioflux.functions.text import sanitize_names
 from regioflux.operators import groups, profile
 from regioflux.operators.ranks import add_percent_rank
 from regioflux.operators.tables import points_from_text
 from regioflux.plans import hazard_risk as plan
-from regioflux.session import new_path, settled
-from regioflux.sources.tables import read_csv, write_csv
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
 
@@ -175,7 +174,7 @@ def _indicator_sql() -> str:
 
 @query(_indicator_sql(), ("indicators",))
 def indicator_ratings(spark: SparkSession, sf: str) -> DataFrame:
-    table = settled(fx.indicators(spark, sf).drop("Source"))
+    table = fx.indicators(spark, sf).drop("Source")
     return plan.rated_columns(table, "Name", fx.INDICATORS)
 
 
@@ -302,12 +301,11 @@ INDICATOR_SCHEMA = (
     ("indicators",),
 )
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Indicators written as CSV with a free-text heading and read back under valid names."""
-    path = new_path(spark, "indicators")
+    """Indicators as CSV lines and read back, the lines never leaving the plan."""
     raw = fx.indicators(spark, sf).withColumnRenamed("Wildfires", "Wild fires & smoke")
-    write_csv(raw, path)
-    back = read_csv(spark, path, INDICATOR_SCHEMA)
-    return back.withColumnRenamed("Wild.fires...smoke", "wild_fires_smoke")
+    lines = raw.select(F.to_csv(F.struct(*[raw[f"`{c}`"] for c in raw.columns])).alias("line"))
+    back = lines.select(F.from_csv("line", INDICATOR_SCHEMA).alias("row")).select("row.*")
+    return back.toDF(*sanitize_names(back.columns)).withColumnRenamed("Wild.fires...smoke", "wild_fires_smoke")
 
 
 @query(

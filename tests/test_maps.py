@@ -133,7 +133,7 @@ def test_geojson(spark, tmp_path):
         ring(2, [(i, i * i) for i in range(20)] + [(0, 0)]),
     )
     regions = spark.createDataFrame([(1, "a", None), (2, "b", 3)], "id long, name string, v int")
-    found = layers.features(regions, vertices, "id", ["name", "v"], polygon_vertices=20, chunk=8)
+    found = layers.features(regions, vertices, "id", ["name", "v"], chunk=8)
     sources.write_geojson(found, str(tmp_path / "layer"))
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "layer")).collect()]
     shapes = {k: [f for f in lines if f["properties"]["name"] == k] for k in "ab"}
@@ -142,11 +142,26 @@ def test_geojson(spark, tmp_path):
     assert multi["geometry"]["type"] == "MultiPolygon"
     assert [[len(r) for r in polygon] for polygon in multi["geometry"]["coordinates"]] == [[5, 5], [5]]
     assert multi["geometry"]["coordinates"][1][0][2] == [6.0, 6.0]
-    # The larger outline comes in pieces that join up at their ends.
-    pieces = sorted((f["geometry"]["coordinates"] for f in shapes["b"]), key=lambda c: c[0][0])
-    assert {f["geometry"]["type"] for f in shapes["b"]} == {"LineString"}
-    steps = {(tuple(a), tuple(b)) for line in pieces for a, b in zip(line, line[1:])}
-    assert len(steps) == 20 and max(map(len, pieces)) <= 9
+    (outline,) = shapes["b"]
+    assert outline["geometry"]["type"] == "MultiPolygon" and len(outline["geometry"]["coordinates"][0][0]) == 21
+
+
+def test_outline_pieces_join_up(spark):
+    vertices = table(spark, [v for v in ring(2, [(i, i * i) for i in range(20)] + [(0, 0)]) if v[3] not in (8, 9)])
+    regions = spark.createDataFrame([(2, "b")], "id long, name string")
+    found = layers.outline_pieces(regions, vertices, "id", ["name"], chunk=4)
+    pieces = sorted((json.loads(r.feature) for r in found.collect()), key=lambda f: f["properties"]["block"])
+    lines = [f["geometry"]["coordinates"] for f in pieces]
+    assert all(a[-1] == b[0] for a, b in zip(lines, lines[1:])) and max(map(len, lines)) <= 5
+    assert sum(len(x) - 1 for x in lines) == 18 and pieces[0]["properties"] == {"name": "b", "part": 0, "ring": 0, "block": 0}
+
+
+def test_edges_bridge_gaps(spark):
+    gapped = table(spark, [v for v in ring(1, [(i, i * i) for i in range(20)] + [(0, 0)]) if v[3] not in (4, 8, 9, 10, 11)])
+    wanted = rows(geo.ring_edges(gapped))
+    assert len(wanted) == 15
+    for chunk in (1, 2, 4):
+        assert rows(geo.ring_edges(gapped, chunk)) == wanted
 
 
 def test_csv_and_boundaries(spark, tmp_path):

@@ -86,3 +86,9 @@ def test_head_and_tail(spark):
     assert [r["k"] for r in ranks.head(df, "x", keys, 2).collect()] == ["b", "c"]
     assert [r["k"] for r in ranks.tail(df, "x", keys, 3).collect()] == ["a", "e", "d"]
     assert [r["k"] for r in ranks.sorted_desc(df, "x", keys).collect()] == ["b", "c", "a", "e", "d"]
+
+
+def test_repeated_key_is_an_error(spark):
+    df = spark.createDataFrame([("k", 1), ("k", 5), ("m", 3)], "key string, x int")
+    with pytest.raises(Exception, match="repeated key: k"):
+        ranks.add_percent_ranks(df, "key", ["x"]).collect()

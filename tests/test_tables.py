@@ -33,9 +33,9 @@ def test_split_exact(spark):
         tables.split_exact(bad, "Source", ["lat", "lon"]).collect()
 
 
-def test_points_off_the_globe_are_missing(spark):
+def test_points_off_the_globe_are_kept(spark):
     df = spark.createDataFrame([("91,10",), ("10,-181",)], "Source string")
-    assert rows(tables.points_from_text(df)) == [(None, 10.0), (10.0, None)]
+    assert rows(tables.points_from_text(df)) == [(10.0, -181.0), (91.0, 10.0)]
 
 
 def test_stacking(spark):
@@ -103,6 +103,10 @@ def test_incidents(spark):
     assert counts == [("PR", "Fire", 1), ("TX", "Fire", 1), ("TX", "Flood", 1), (None, "Fire", 1)]
     wide = groups.count_wide(recent, "STUSPS", "incidentType", ["Fire", "Flood"])
     assert rows(wide) == [(None, 1, 0), ("PR", 1, 0), ("TX", 1, 1)]
+    assert groups.count_wide(recent, "STUSPS", "incidentType").columns == ["STUSPS", "Fire", "Flood"]
+    assert rows(groups.count_wide(recent, "STUSPS", "incidentType", ["Fire"], rest="other")) == [(None, 1, 0), ("PR", 1, 0), ("TX", 1, 1)]
+    with pytest.raises(PySparkException, match="unlisted value of incidentType: Flood"):
+        groups.count_wide(recent, "STUSPS", "incidentType", ["Fire"]).collect()
 
 
 def test_group_measures(spark):
