@@ -234,6 +234,6 @@ def test_state_risk(spark):
     ]
     labels = rows(hazard_risk.region_label(counties), "Name", "Risk_Rating")
     assert labels[:2] == [("A, TX", "High"), ("B, TX", None)] and labels[-1] == ("E, NA", None)
-    boundaries = spark.createDataFrame([("01", "A County", "TX")], "GEOID string, NAMELSAD string, STUSPS string")
+    boundaries = spark.createDataFrame([("1", "A County", "TX")], "GEOID string, NAMELSAD string, STUSPS string")
     checked = hazard_risk.id_mismatches(counties, boundaries)
-    assert rows(checked, "GEOID", "Name")[:2] == [("01", "A County, TX"), ("02", None)]
+    assert rows(checked, "GEOID", "Name")[:2] == [("00001", "A County, TX"), ("00002", None)]
