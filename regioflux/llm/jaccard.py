@@ -257,20 +257,26 @@ def _mixed(held: DataFrame, merged: DataFrame) -> DataFrame:
     return named.withColumns(ends).filter("_low <> _high").drop(*ends)
 
 
-def loose(held: DataFrame, merged: DataFrame) -> DataFrame:
-    """(print) of the sets that a key makes a candidate with a set of another component."""
-    key = Window.partitionBy("key")
-    by_weight = F.struct("weight", "print", "component")
-    other = lambda best: F.col("component") != F.col(f"{best}.component")
-    # A set that kept empty segments asks heavier ones too: it and those it asks count as if it were the lightest and the heaviest.
-    asks = F.when(F.col("units") >= 1, F.struct(F.when(F.col("full") == 1, -1).otherwise(F.col("weight")).alias("weight"), "print", "component"))
-    found = _mixed(held, merged).withColumns({"top": F.max(by_weight).over(key), "low": F.min(asks).over(key), "full_asks": F.max(F.col("full") * (F.col("units") >= 1).cast("int")).over(key)})
-    found = found.withColumns({"top2": F.max(F.when(other("top"), by_weight)).over(key), "low2": F.min(F.when(other("low"), asks)).over(key)})
-    heavier = F.when(other("top"), F.col("top")).otherwise(F.col("top2"))
-    lighter = F.when(other("low"), F.col("low")).otherwise(F.col("low2"))
-    asking = (F.col("units") >= 1) & (F.struct("weight", "print") < F.struct(heavier["weight"], heavier["print"]))
-    asked = F.struct(lighter["weight"], lighter["print"]) < F.struct("weight", "print")
-    return found.filter(F.coalesce(asking, F.lit(False)) | F.coalesce(asked, F.lit(False)) | (F.col("full_asks") == 1)).select("print").distinct()
+def loose(held: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """(print) of the sets that a key makes a candidate with a set of another component, in either part; at first every set is its own.
+
+    The units of either set are enough to find a pair, so the set of less weight asks, whose keys fewer others hold. Only a set that
+    kept empty segments among its own may have spent units on one that the other set has left out; then both ask.
+    """
+    named = held.withColumn("component", F.col("print")) if merged is None else written(_mixed(held, merged), "mixed-keys")
+    columns = ("print", "full", "own", "kind", "units", "weight", "component")
+    asking = named.filter("units = 2 or (units = 1 and kind = 0)").select("key", *(F.col(c).alias(f"p_{c}") for c in columns))
+    lighter = F.struct("p_weight", "p_print") < F.struct("weight", "print")
+    found = (
+        (asking["key"] == named["key"])
+        & (F.col("p_component") != F.col("component"))
+        & (F.col("own") + F.col("p_own") > 0)
+        & (lighter | (F.col("full") + F.col("p_full") > 0))
+        & _asks("p_", "")
+    )
+    one = asking.join(named, found, "left_semi").select(F.col("p_print").alias("print"))
+    other = named.join(asking, found, "left_semi").select("print")
+    return one.union(other).distinct()
 
 
 def elements(stored: DataFrame, rule: Rule) -> DataFrame:
@@ -359,8 +365,9 @@ def groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text")
     """(key, n_shingles, component_id) of every row; component_id is the least key reachable by links."""
     known = written(digests(docs, rule.k, key, text), "set-prints")
     held = written(holders(index(docs, rule, text), rule), "key-holders")
-    stored = written(stored_sets(docs, known, held.select("print").distinct(), rule.k, key, text), "sets")
     pairs = written(star_pairs(held), "first-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("print")).union(loose(held)).distinct()
+    stored = written(stored_sets(docs, known, needed, rule.k, key, text), "sets")
     links = written(linked(pairs, stored, rule), "first-links")
     merged = written(components(links), "first-groups")
     again_asked = stored.join(loose(held, merged), "print", "left_semi")
