@@ -7,7 +7,7 @@ in labelled documents alone, in at least LEAST of them. The model has one weight
 each grade: P(grade <= j) = logistic(threshold_j - weights . features). The result is the expected grade.
 
 Fitting uses at most SAMPLE labelled rows of each label, those with the smallest hashes of the key, and the FEATURES that tell
-most about the label; that is the only bound. All documents are scored on their whole text.
+most about the label among those far more common in toxic documents; that is the only bound. All documents are scored on their whole text.
 
 Defined cases: null and empty texts have no features and get the expected grade of the thresholds alone; null labels are ignored; several
 labels of a document count as toxic if any is; repeated rows are scored each; without labelled rows of either kind every
@@ -30,11 +30,13 @@ from regioflux.llm.storage import written
 
 #: Bounds on the fit alone: labelled rows of each kind, and features with a weight.
 SAMPLE = 4000
-FEATURES = 4096
+FEATURES = 1024
 LEAST = 3
 GRADES = 3
+#: A feature tells something if its share among toxic documents is so many times that among clean ones.
+RATIO = 4
 STEPS = 300
-DECAY = 1e-5
+DECAY = 1e-4
 
 _LENGTHS = (4, 5)
 
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         F.sum((F.col("toxic") > 0).cast("long")).alias("hit"), F.sum((F.col("toxic") <= 0).cast("long")).alias("miss")
     ).filter(F.col("hit") + F.col("miss") >= LEAST)
     p, q = (F.col("hit") + 0.5) / (sizes[True] + 1), (F.col("miss") + 0.5) / (sizes[False] + 1)
-    told = counts.withColumn("told", (p - q) * (F.log(p) - F.log(q))).orderBy(F.desc("told"), "feature").limit(FEATURES).collect()
+    told = counts.filter(p >= RATIO * q).withColumn("told", (p - q) * (F.log(p) - F.log(q))).orderBy(F.desc("told"), "feature").limit(FEATURES).collect()
     known = np.array([r["feature"] for r in told], dtype=np.int64).view(np.uint64)
     indicator = np.array([r["miss"] == 0 and r["hit"] >= LEAST for r in told])
     number = {r["feature"]: i for i, r in enumerate(told)}
