@@ -29,8 +29,8 @@ from regioflux.llm.arrow import add_columns, text_column
 from regioflux.llm.storage import written
 
 #: Words whose ids a worker remembers, and ids held for them; beyond either it starts anew.
-REMEMBERED = 1 << 20
-REMEMBERED_IDS = 1 << 23
+REMEMBERED = 1 << 19
+REMEMBERED_IDS = 1 << 22
 #: Bytes of text that are tokenized together.
 SLICE = 1 << 20
 BUCKETS_PER_PARTITION = 8
@@ -38,6 +38,28 @@ BUCKETS_PER_PARTITION = 8
 MARKS = ".,;:!?*&%$#|"
 
 
+class _Growing:
+    """An array that is appended to; it grows by doubling, so that appending costs what is appended."""
+
+    def __init__(self, first: list, dtype) -> None:
+        self.room = np.zeros(1024, dtype=dtype)
+        self.used = len(first)
+        self.room[: self.used] = first
+
+    def __len__(self) -> int:
+        return self.used
+
+    def append(self, values: np.ndarray) -> None:
+        end = self.used + len(values)
+        if end > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros(max(len(self.room), end - len(self.room)), dtype=self.room.dtype)])
+        self.room[self.used : end] = values
+        self.used = end
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
 class _Memory:
     """Ids of words as they stand after a space, of first words, and of the end, in one array."""
 
@@ -56,10 +78,10 @@ class _Memory:
     def clear(self) -> None:
         self.after: dict[str, int] = {}
         self.first: dict[str, int] = {}
-        self.ids = np.array([self.end], dtype=np.uint32)
-        self.begin = np.zeros(1, dtype=np.int64)
-        self.size = np.ones(1, dtype=np.int64)
-        self.apart = np.ones(1, dtype=bool)
+        self.ids = _Growing([self.end], np.uint32)
+        self.begin = _Growing([0], np.int64)
+        self.size = _Growing([1], np.int32)
+        self.apart = _Growing([True], bool)
 
     def _encoded(self, words: list[str], before: str) -> list[list[int]]:
         """Ids of words that stand alone. A word of letters is one unit before the merges, so it goes straight to them."""
@@ -75,11 +97,11 @@ class _Memory:
 
     def _add(self, known: dict[str, int], words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         start = len(self.begin)
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, ids])
+        self.begin.append(len(self.ids) + np.cumsum(size) - size)
+        self.size.append(size)
+        self.ids.append(ids)
         # A word that is empty or has white space at an end touches the space beside it: the split there isn't sure.
-        self.apart = np.concatenate([self.apart, np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words), dtype=bool, count=len(words))])
+        self.apart.append(np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words), dtype=bool, count=len(words)))
         known.update(zip(words, range(start, start + len(words)), strict=True))
 
     def _learn_parts(self, known: dict[str, int], words: list[str], before: str) -> None:
@@ -112,7 +134,7 @@ class _Memory:
         if made:
             at = np.fromiter((known[x] if spaced else self.first[x] for _, own in made for spaced, x in own), dtype=np.int64)
             counts = np.fromiter((len(own) for _, own in made), dtype=np.int64, count=len(made))
-            size = self.size[at]
+            size = self.size[at].astype(np.int64)
             ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.begin[at] - (np.cumsum(size) - size), size)]
             self._add(known, [w for w, _ in made], ids, np.add.reduceat(size, np.cumsum(counts) - counts))
 
@@ -141,7 +163,7 @@ class _Memory:
         unsure = np.flatnonzero(np.bitwise_or.reduceat(~self.apart[at], heads))
         order = np.insert(at, np.cumsum(counts), 0)
         counts = counts + 1
-        sizes = self.size[order]
+        sizes = self.size[order].astype(np.int64)
         shift = np.cumsum(sizes) - sizes
         ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.begin[order] - shift, sizes)]
         totals = np.add.reduceat(sizes, np.cumsum(counts) - counts)
