@@ -50,6 +50,16 @@ CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: Elements that parts of a table stand in; a part closes whatever else is open inside the nearest of them.
+SECTIONS = frozenset({"thead", "tbody", "tfoot"})
+PARENTS = {
+    "tr": SECTIONS | {"table"},
+    "td": SECTIONS | {"table", "tr"},
+    "th": SECTIONS | {"table", "tr"},
+    "thead": frozenset({"table"}),
+    "tbody": frozenset({"table"}),
+    "tfoot": frozenset({"table"}),
+}
 #: Blocks end an open paragraph; these elements shield one.
 CLOSE_P = BLOCK - {"body", "html", "li", "dd", "dt", "tr", "caption", "option", "legend", "summary"}
 SHIELD_P = frozenset("table td th caption button object".split())
@@ -77,6 +87,22 @@ def _close(stack: list[Node], tags: set[str] | frozenset[str], stop: set[str] |
         del stack[found:]
 
 
+def _into_table(stack: list[Node], tag: str) -> None:
+    """Closes what is open between a part of a table and where it stands, and opens the row that a cell implies."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in PARENTS[tag]:
+            del stack[i + 1 :]
+            break
+        if stack[i].tag in ("template", "noscript"):
+            return
+    else:
+        return
+    if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEEPEST:
+        row = Node("tr")
+        stack[-1].children.append(row)
+        stack.append(row)
+
+
 def _new(tag: str, attributes: str) -> Node:
     visible, number = tag not in HIDDEN, 1
     if attributes and not attributes.isspace():
@@ -112,13 +138,15 @@ def tree(source: str) -> Node:
                     if stack[i].tag == tag:
                         del stack[i:]
                         break
-                    if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
+                    if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "template", "noscript", "body", "html"):
                         break
             continue
         if tag == "html":
             continue
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
+            if tag in PARENTS:
+                _into_table(stack, tag)
         elif stack[-1].tag == "head" and tag not in HIDDEN:
             stack.pop()
         if tag in CLOSE_P:
@@ -130,6 +158,8 @@ def tree(source: str) -> Node:
             text = source[at : end.start() if end else len(source)]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = end.end() if end else len(source)
+        elif tag == "form" and stack[-1].tag in PARENTS["td"]:
+            continue  # a form between the parts of a table holds nothing
         elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK and tag not in CLOSES) and len(stack) < DEEPEST:
             stack.append(node)
     if at < len(source):
@@ -177,11 +207,26 @@ def _rows(node: Node) -> list[Node]:
         if isinstance(child, Node) and child.visible:
             if child.tag == "tr":
                 out.append(child)
-            elif child.tag in ("thead", "tbody", "tfoot"):
+            elif child.tag in SECTIONS:
                 out += _rows(child)
     return out
 
 
+def _strays(node: Node) -> list[Node | str]:
+    """What a table, its sections and rows hold besides sections, rows and the rows' cells."""
+    out: list[Node | str] = []
+    for child in node.children:
+        if isinstance(child, str):
+            if not child.isspace():
+                out.append(child)
+        elif child.tag == "tr" or child.tag in SECTIONS:
+            if child.visible:
+                out += _strays(child)
+        elif node.tag != "tr" or child.tag not in ("td", "th"):
+            out.append(child)
+    return out
+
+
 def _table(node: Node) -> tuple[list[str], list[str]]:
     """Lines of a table's rows, and of what else it holds, such as its caption."""
     cells = [[_rendered(c) for c in row.children if isinstance(c, Node) and c.visible and c.tag in ("td", "th")] for row in _rows(node)]
@@ -195,9 +240,7 @@ def _table(node: Node) -> tuple[list[str], list[str]]:
             parts = [(c[k] if k < len(c) else "").ljust(width.get(i, 0) if i < len(row) - 1 else 0) for i, c in enumerate(row)]
             lines.append("  ".join(parts).rstrip())
     rest = Node("div")
-    strays = [s for row in _rows(node) for s in row.children if not (isinstance(s, Node) and s.tag in ("td", "th"))]
-    parts = [c for c in node.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot"))]
-    rest.children = [c for c in parts + strays if isinstance(c, Node) or not c.isspace()]
+    rest.children = _strays(node)
     return lines, _rendered(rest)
 
 

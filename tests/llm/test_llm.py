@@ -255,6 +255,20 @@ def test_html(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><thead><th>A<th>B</thead><tr><td>1</table>", "A  B\n1"), ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><tbody><form><tr><td>a<td>b</form><tr><td>c</table>d", "a  b\nc\n\nd"), ("<table><tr><form><td>a<td>b</form></table>", "a  b"),
+        ("<table><tbody>loose <b>bold</b><tr><td>1</tbody></table>", "loose bold\n1"), ("<table><tfoot><p>p<tr>q<td>1</table>", "p\n\nq\n1"),
+        ("<table><colgroup><col><tr><td>a<td>b</table>", "a  b"), ("<table><template><tr><td>no</template><tr><td>a</table>", "a"),
+        ("<table><tbody hidden>no<tr><td>no</tbody><tr><td><table><th>x<th>y</table>", "x  y"),
+    ],
+)
+def test_html_parts_of_tables(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>a", "old"), (1, None, None), (2, "<div>" * 5000 + "deep", "x")], "page_id long, html string, text string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == ["", "a", "deep"]
