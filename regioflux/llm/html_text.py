@@ -22,8 +22,12 @@ from regioflux.llm.arrow import add_columns, text_column
 
 DEEPEST = 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote opens a value only after "=" and a name; elsewhere in a tag it is a character like others. A quoted value that never ends ends no tag.
+_VALUE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^ \t\n\r\f>]*+))"
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_VALUE})?+")
+_INSIDE = rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{re.sub(r'\((?!\?)', '(?:', _VALUE)}|(?![ \t\n\r\f]*+=)))*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({_INSIDE})>", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 

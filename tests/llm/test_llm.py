@@ -269,6 +269,19 @@ def test_html_parts_of_tables(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p title=Bob's>Hello world</p><p>it's fine</p>", "Hello world\n\nit's fine"), ('<p title="5" tall">a</p><p title="6">b</p>', "a\n\nb"),
+        ("<p title = \"x > y\">a<p title='x > \"y'>b", "a\n\nb"), ("<p x'hidden>a</p 'b><p>it's", "a\n\nit's"), ("<p a=1'2\">a</p>\"b\"", "a\n\n\"b\""),
+        ("<p =\"x>a</p>\">", "a\n\n\">"), ("<p a='1'=\"x>b</p>\">", "b\n\n\">"), ("<p a= hidden>a<p a=/ hidden>b", "a"), ("<p a=\"b>c", '<p a="b>c'), ("x<br/>y<a href=/z/>w</a>", "x\nyw"),
+        ("<ol start='3'><li a=b\nc>d</ol>", "3. d"), ("<input type='hidden' value=\"a>b\"/>c", "c"),
+    ],
+)
+def test_html_quotes_in_tags(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>a", "old"), (1, None, None), (2, "<div>" * 5000 + "deep", "x")], "page_id long, html string, text string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == ["", "a", "deep"]
