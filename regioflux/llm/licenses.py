@@ -1,16 +1,19 @@
 """Licence scans: base phrases, and template spans chained from a generalised suffix automaton's matching statistics.
 
 The automaton holds all token substrings of the templates. A document's tokens are streamed through it: after every token
-it knows the longest suffix that occurs in a template. Matches of at least LEAST tokens that cannot be extended are
-chained per template, forwards in document and template with small gaps, into spans; a span that covers at least
-COVERED of its template gives the template's label. Tokens outside the templates' vocabulary reset the automaton, so
-only runs of vocabulary tokens are walked one by one.
+it knows the longest suffix that occurs in a template. Matches of at least LEAST tokens that cannot be extended are chained per
+template over the whole document, forwards in document and template with small gaps; where two overlap, the later one
+counts without what the earlier one has. Disjoint chains that cover at least COVERED of the template are spans, the fullest
+first, and give the template's label. Words of a longer match in another template count for that one alone. Tokens outside the
+templates' vocabulary only reset the automaton, so only runs of vocabulary tokens are walked one by one.
 
 Defined cases: null and empty texts have no words and no labels; repeated rows are scanned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,6 +120,33 @@ class SuffixAutomaton:
         return out
 
 
+def chains(found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(start, end, covered tokens) of disjoint chains of matches (start, end, start in the template; by end) that reach COVERED of
+    the template's size, the fullest first; no chain that reaches it is left beside them."""
+    # For each match: the most tokens covered by a chain that ends with it, by where the chain began.
+    best: list[dict[int, int]] = []
+    for i, (start, end, at) in enumerate(found):
+        own = {start: end - start}
+        for j in range(i - 1, -1, -1):
+            s, e, a = found[j]
+            if e < start - GAP:
+                break
+            both = max(0, e - start, a + e - s - at)
+            if both < end - start and start + both - e <= GAP and at + both - (a + e - s) <= GAP:
+                for begin, covered in best[j].items():
+                    own[begin] = max(own.get(begin, 0), covered + end - start - both)
+        best.append(own)
+    full = sorted(((c, b, end) for own, (_, end, _) in zip(best, found, strict=True) for b, c in own.items() if c >= COVERED * size), reverse=True)
+    begins: list[int] = []
+    taken: list[tuple[int, int, int]] = []
+    for covered, begin, end in full:
+        i = bisect_left(begins, begin)
+        if (i == 0 or taken[i - 1][1] <= begin) and (i == len(begins) or end <= begins[i]):
+            begins.insert(i, begin)
+            taken.insert(i, (begin, end, covered))
+    return taken
+
+
 class _Scanner:
     def __init__(self) -> None:
         phrases = textbytes.fingerprints_of([p for p, _ in PHRASES], textbytes.ALNUM)
@@ -127,27 +157,13 @@ class _Scanner:
         self.templates = [self.lookup(x).tolist() for x in templates]
         self.automaton = SuffixAutomaton(self.templates)
 
-    def spans(self, tokens: list[int], first: int) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, covered share) in one run of vocabulary tokens, places counted from first."""
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for end, length, state in self.automaton.matches(tokens):
-            for template, last in self.automaton.places[state]:
-                by_template.setdefault(template, []).append((end - length, end, last + 1 - length))
+    def spans(self, by_template: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, float]]:
+        """(template, start, end, covered share) of a document's matches."""
         out = []
         for template, found in sorted(by_template.items()):
             size = len(self.templates[template])
-            # Best chain that ends with each match: tokens covered, and where the chain began.
-            best: list[tuple[int, int]] = []
-            for i, (start, end, at) in enumerate(found):
-                covered, begin = end - start, start
-                for j, (s, e, a) in enumerate(found[:i]):
-                    gap, template_gap = start - e, at - (a + e - s)
-                    if 0 <= gap <= GAP and 0 <= template_gap <= GAP and best[j][0] + end - start > covered:
-                        covered, begin = best[j][0] + end - start, best[j][1]
-                best.append((covered, begin))
-            covered, begin, end = max((c, b, e) for (c, b), (_, e, _) in zip(best, found, strict=True))
-            if covered >= COVERED * size:
-                out.append((template, first + begin, first + end, covered / size))
+            if sum(end - start for start, end, _ in found) >= COVERED * size:
+                out += [(template, begin, end, covered / size) for begin, end, covered in chains(found, size)]
         return out
 
     def scan(self, part: textbytes.Slice) -> list[tuple]:
@@ -168,15 +184,18 @@ class _Scanner:
                 if owner[i] == owner[i + k - 1]:
                     places[owner[i]].append(int(place[i]))
                     labels[owner[i]].add(label)
-        spans: list[list[tuple[int, int, int, float]]] = [[] for _ in range(n)]
+        matches: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in range(n)]
         known = np.concatenate([[False], ids >= 0, [False]])
         edge = np.flatnonzero(known[1:] != known[:-1])
         for a, b in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2), axis=1).ravel() >= LEAST].tolist():
             for d in range(owner[a], owner[b - 1] + 1):  # a run may go on into the next document
                 low, high = max(a, int(found.first[d])), min(b, int(found.first[d + 1]))
                 if high - low >= LEAST:
-                    spans[d] += self.spans(ids[low:high].tolist(), low - int(found.first[d]))
-        return list(zip(counts.tolist(), places, labels, spans, strict=True))
+                    first = low - int(found.first[d])
+                    for end, length, state in self.automaton.matches(ids[low:high].tolist()):
+                        for template, last in self.automaton.places[state]:
+                            matches[d].setdefault(template, []).append((first + end - length, first + end, last + 1 - length))
+        return list(zip(counts.tolist(), places, labels, map(self.spans, matches), strict=True))
 
 
 _scanner: list[_Scanner] = []

@@ -202,6 +202,21 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_changed_and_repeated_notices(spark):
+    mit = licenses.TEMPLATES[3][1].split()
+    half = len(mit) // 2
+    cc = "This work is licensed under zebra Creative Commons Attribution International License"
+    texts = [
+        " ".join([*mit[:half], "zebra", *mit[half + 1 :]]), " ".join([*mit[:half], "zebra", *mit[half:]]), " ".join([*mit[:half], mit[half - 1], *mit[half:]]),
+        " ".join(mit * 3), " ".join([*mit, "zebra", *mit]), cc, licenses.TEMPLATES[4][1], " ".join([*mit[:half], *["zebra"] * 4, *mit[half:]]), " ".join(mit * 400),
+    ]
+    found = [[(s.label, s.first, s.stop, s.covered) for s in r.spans] for _, r in sorted(by_id(licenses.scan(frame(spark, list(enumerate(texts))))).items())]
+    n = len(mit)
+    assert found[:3] == [[("mit", 0, n, (n - 1) / n)], [("mit", 0, n + 1, 1.0)], [("mit", 0, n + 1, 1.0)]]
+    assert found[3] == [("mit", n * i, n * i + n, 1.0) for i in range(3)] and found[4] == [("mit", 0, n, 1.0), ("mit", n + 1, 2 * n + 1, 1.0)]
+    assert found[5] == [("cc-by", 0, 11, 10 / 11)] and found[6] == [("gpl-3.0", 0, 12, 1.0)] and found[7] == [] and len(found[8]) == 400
+
+
 def test_suffix_automaton_finds_longest_matches():
     rng = random.Random(4)
     texts = [[rng.randrange(4) for _ in range(30)] for _ in range(5)]
