@@ -15,6 +15,7 @@ each; other columns of the pieces are kept, and columns named sequence_id or off
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain, repeat
 from typing import NamedTuple
@@ -63,11 +64,15 @@ class _Growing:
 class _Memory:
     """Ids of words as they stand after a space, of first words, and of the end, in one array."""
 
-    def __init__(self, path: str, end: int) -> None:
+    def __init__(self, path: str, end: int, added: bool) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Texts that hold an added token's content are encoded whole, by the tokenizer as it is.
+        self.whole = Tokenizer.from_file(path) if added else self.tokenizer
+        contents = [x.content for x in self.whole.get_added_tokens_decoder().values() if x.content] if added else []
+        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.end = end
         # Fixed values of byte-level tokenizers: printable bytes stand for themselves, the others for code points from 256.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -161,6 +166,8 @@ class _Memory:
         at = self.look_up(self.after, flat, " ")
         at[heads] = self.look_up(self.first, [p[0] for p in parts], "")
         unsure = np.flatnonzero(np.bitwise_or.reduceat(~self.apart[at], heads))
+        if self.added:
+            unsure = np.union1d(unsure, [i for i, t in enumerate(texts) if self.added.search(t)]).astype(np.int64)
         order = np.insert(at, np.cumsum(counts), 0)
         counts = counts + 1
         sizes = self.size[order].astype(np.int64)
@@ -170,14 +177,14 @@ class _Memory:
         if len(unsure):
             cut = np.split(ids, np.cumsum(totals)[:-1])
             for i in unsure.tolist():
-                whole = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+                whole = self.whole.encode(texts[i], add_special_tokens=False).ids
                 cut[i] = np.array([*whole, self.end], dtype=np.uint32)
                 totals[i] = len(cut[i])
             ids = np.concatenate(cut)
         return ids, totals
 
 
-_memories: dict[tuple[str, int], _Memory] = {}
+_memories: dict[tuple[str, int, bool], _Memory] = {}
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -191,20 +198,22 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, text: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, text: str = "text", added: bool = False) -> DataFrame:
     """Pieces of the documents: their other columns, piece, start, length, and ids as little-endian 32-bit numbers.
 
     A document is its ids and the end token. One of more than `capacity` ids is cut so that only its first piece may be shorter.
     tokenizer: path of a tokenizer file that every worker can read.
+    added: the content of an added token, such as <|endoftext|>, becomes that token, as the tokenizer's encode does by itself; otherwise it is
+    text like other text.
     """
     kept = [f for f in docs.schema if f.name.lower() not in {text.lower(), "piece", "start", "length", "ids"}]
     schema = T.StructType([*kept, *T.StructType.fromDDL("piece int, start long, length long, ids binary")])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, end) not in _memories:
-            _memories[tokenizer, end] = _Memory(tokenizer, end)
-        memory = _memories[tokenizer, end]
+        if (tokenizer, end, added) not in _memories:
+            _memories[tokenizer, end, added] = _Memory(tokenizer, end, added)
+        memory = _memories[tokenizer, end, added]
         for batch in batches:
             texts = [t or "" for t in text_column(batch, text).to_pylist()]
             for first, last in _slices(texts):

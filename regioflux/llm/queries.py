@@ -68,7 +68,7 @@ CAPACITY = 1024
 
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of the documents with a digest of their ids in place of the ids, packed."""
-    pieces = packing.tokenized(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), capacity=CAPACITY)
+    pieces = packing.tokenized(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), capacity=CAPACITY, added=True)
     return packing.pack(written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), CAPACITY)
 
 

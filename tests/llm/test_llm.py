@@ -136,6 +136,15 @@ def test_digest_is_crc32_of_ids(spark):
     assert row.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
+def test_added_tokens_are_encoded_as_by_the_tokenizer(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z", "a <|endoftext| > b", "plain words,\nand more", "<|endoftext|><|endoftext|> é", ""]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert expected[0] == [64, 220, 50256, 275, 2]
+    found = by_id(queries.packed(frame(spark, list(enumerate(texts)))))
+    assert [(found[i].length, found[i].ids_crc32) for i in range(len(texts))] == [(len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for x in expected]
+
+
 # 3 Jaccard
 
 
