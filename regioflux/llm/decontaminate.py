@@ -1,9 +1,11 @@
 """Benchmark decontamination: BM25 over test items with block-max bounds, every training passage a query, matches verified.
 
-The items are the indexed side: a table of test sets whose size does not follow the corpus; its index (postings
-as impacts, and the largest impact of each term in each block of items) goes to every task. Documents are cut into passages that overlap by half
-and are longer than twice the longest item, so that every occurrence of an item lies within a passage. A passage is a query: terms' largest impacts bound
-its score, first over all items, then block by block, and only blocks whose bound reaches their least threshold are scored.
+The items are the indexed side. They are dealt into shards of about SHARD_BYTES of text, each with an inverted index of its own under
+statistics of all items: postings as impacts, sorted by term and item, and for each term the largest impact in each block of items that it
+occurs in. Nothing grows with vocabulary times items. The driver and a task hold one shard at a time. Documents are cut into passages that
+overlap by half and are longer than twice the longest item, so that every occurrence of an item lies within a passage. A passage is a query:
+terms' largest impacts bound its score, first over all items, then in the blocks that its terms occur in, and only postings of blocks whose bound
+reaches their least threshold are scored. The bounds of a passage are added up at once, block by block, in place of WAND's pivots, which move item by item.
 All items that reach their threshold are retrieved. An item's threshold is its score against itself less the most that a passage may
 lose and still be verified, so no match is lost.
 
@@ -17,61 +19,99 @@ and documents match each; an empty table on either side gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from regioflux.llm import textbytes
 from regioflux.llm.arrow import add_columns, text_column
+from regioflux.llm.storage import written
 
 K1, B = 1.2, 0.75
 BLOCK = 16
 SHINGLE = 5
 SHARE = 0.8
 ANSWER = 1 / 3
+#: Bytes of items' text in a shard, about, and items whose parts a worker remembers.
+SHARD_BYTES = 8 << 20
+REMEMBERED = 4096
+
+
+class Statistics(NamedTuple):
+    """Of all items: how many have words, words in all, words of the longest, and how many hold each word of a shard."""
+
+    n: int
+    words: int
+    longest: int
+    holders: dict[int, int]
+
+
+def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers from each first to its stop, one range after the other."""
+    size = stop - first
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 class Items:
-    """The inverted index of the test items."""
+    """The inverted index of a shard of the test items, or of all of them where no statistics are given."""
 
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
+    def __init__(self, ids: list, texts: list[str | None], statistics: Statistics | None = None) -> None:
         prints = textbytes.fingerprints_of([t or "" for t in texts], textbytes.ALNUM)
         some = [i for i, p in enumerate(prints) if len(p)]
         self.ids = [ids[i] for i in some]
-        prints = [prints[i] for i in some]
-        n = len(prints)
-        vocabulary = np.unique(np.concatenate(prints)) if n else np.zeros(0, dtype=np.uint64)
+        if not some:
+            return
+        vocabulary, flat = np.unique(np.concatenate([prints[i] for i in some]), return_inverse=True)
         self.lookup = textbytes.Lookup(vocabulary)
-        self.tokens = [self.lookup(p) for p in prints]
-        length = np.array([len(t) for t in self.tokens], dtype=float)
-        counts = np.zeros((len(vocabulary), n))
-        for i, t in enumerate(self.tokens):
-            np.add.at(counts[:, i], t, 1)
-        holders = (counts > 0).sum(1)
-        idf = np.log(1 + (n - holders + 0.5) / (holders + 0.5))
-        norm = K1 * (1 - B + B * length / length.mean()) if n else length
-        self.impact = idf[:, None] * counts * (K1 + 1) / (counts + norm[None, :]) if n else counts
-        self.longest = int(length.max()) if n else 0
-        self.shingles, self.question, self.answer = [], [], []
-        threshold = np.zeros(n)
-        for i, t in enumerate(self.tokens):
-            k = min(SHINGLE, len(t))
-            self.shingles.append(self._shingles(t, k))
-            cut = len(t) - max(1, int(len(t) * ANSWER)) if len(t) > 1 else 1
-            self.question.append(np.unique(t[:cut]))
-            self.answer.append(np.unique(t[cut:]))
-            lost = sum(len(x) - self.needed(len(x)) for x in (self.question[-1], self.answer[-1]))
-            own = np.sort(self.impact[np.unique(t), i])
-            threshold[i] = own[: len(own) - lost].sum() * (1 - 1e-9)
+        length = np.array([len(prints[i]) for i in some], dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(length)])
+        self.flat = flat.astype(np.int32)
+        pair, counts = np.unique(np.repeat(np.arange(len(some)), length) * len(vocabulary) + flat, return_counts=True)
+        item, term = np.divmod(pair, len(vocabulary))
+        if statistics is None:
+            statistics = Statistics(len(some), int(length.sum()), int(length.max()), {})
+            holders = np.bincount(term, minlength=len(vocabulary))
+        else:
+            holders = np.array([statistics.holders[x] for x in vocabulary.view(np.int64).tolist()])
+        idf = np.log(1 + (statistics.n - holders + 0.5) / (holders + 0.5))
+        norm = K1 * (1 - B + B * length / (statistics.words / statistics.n))
+        impact = idf[term] * counts * (K1 + 1) / (counts + norm[item])
+        self.longest = statistics.longest
+        self.remembered: dict[int, tuple[set, np.ndarray, np.ndarray]] = {}
+        ends = np.cumsum(np.bincount(item, minlength=len(some)))
+        threshold = np.zeros(len(some))
+        for i, own in enumerate(np.split(impact, ends[:-1])):
+            question, answer = self._halves(self._tokens(i))
+            lost = sum(len(x) - self.needed(len(x)) for x in (question, answer))
+            threshold[i] = np.sort(own)[: len(own) - lost].sum() * (1 - 1e-9)
         # Blocks of items with like thresholds keep the blocks' bounds tight.
         self.order = np.argsort(threshold, kind="stable")
         self.threshold = threshold[self.order]
-        self.impact = self.impact[:, self.order]
-        starts = np.arange(0, n, BLOCK)
-        self.block_most = np.maximum.reduceat(self.impact, starts, axis=1) if n else self.impact
-        self.block_least = np.minimum.reduceat(self.threshold, starts) if n else threshold
-        self.most = self.impact.max(1) if n else np.zeros(0)
+        self.block_least = np.minimum.reduceat(self.threshold, np.arange(0, len(some), BLOCK))
+        rank = np.empty(len(some), dtype=np.int64)
+        rank[self.order] = np.arange(len(some))
+        by = np.lexsort((rank[item], term))
+        # Postings: item places and impacts, by term and place; their blocks: number, first posting, largest impact; each term's first block.
+        self.place, self.impact = rank[item][by].astype(np.int32), impact[by]
+        key = term[by] * (len(self.block_least) + 1) + self.place // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.block = self.place[first] // BLOCK
+        self.block_first = np.append(first, len(key))
+        self.block_most = np.maximum.reduceat(self.impact, first)
+        self.term_first = np.searchsorted(term[by][first], np.arange(len(vocabulary) + 1))
+        self.most = np.maximum.reduceat(self.block_most, self.term_first[:-1])
+
+    def _tokens(self, item: int) -> np.ndarray:
+        return self.flat[self.begin[item] : self.begin[item + 1]]
+
+    @staticmethod
+    def _halves(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different words of an item's question and answer."""
+        cut = len(t) - max(1, int(len(t) * ANSWER)) if len(t) > 1 else 1
+        return np.unique(t[:cut]), np.unique(t[cut:])
 
     @staticmethod
     def needed(n: int) -> int:
@@ -87,24 +127,33 @@ class Items:
         """(item, score, shared shingles) of every verified item in a passage; tokens outside the vocabulary are -1."""
         terms = np.unique(tokens)
         terms = terms[terms >= 0]
-        blocks = np.flatnonzero(self.block_most[terms].sum(0) >= self.block_least)
+        blocks = _ranges(self.term_first[terms], self.term_first[terms + 1])
+        touched, number = np.unique(self.block[blocks], return_inverse=True)
+        may = np.bincount(number, self.block_most[blocks], len(touched)) >= self.block_least[touched]
+        blocks = blocks[may[number]]
+        postings = _ranges(self.block_first[blocks], self.block_first[blocks + 1])
+        places, number = np.unique(self.place[postings], return_inverse=True)
+        scores = np.bincount(number, self.impact[postings], len(places))
         out = []
-        for block in blocks.tolist():
-            at = slice(block * BLOCK, (block + 1) * BLOCK)
-            scores = self.impact[terms, at].sum(0)
-            for j in np.flatnonzero(scores >= self.threshold[at]).tolist():
-                item = int(self.order[block * BLOCK + j])
-                share = self._verified(item, terms, tokens)
-                if share:
-                    out.append((item, float(scores[j]), share))
+        for j in np.flatnonzero(scores >= self.threshold[places]).tolist():
+            item = int(self.order[places[j]])
+            share = self._verified(item, terms, tokens)
+            if share:
+                out.append((item, float(scores[j]), share))
         return out
 
     def _verified(self, item: int, terms: np.ndarray, tokens: np.ndarray) -> float:
-        for part in (self.question[item], self.answer[item]):
+        k = min(SHINGLE, int(self.begin[item + 1] - self.begin[item]))
+        if item not in self.remembered:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            own = self._tokens(item)
+            self.remembered[item] = (self._shingles(own, k), *self._halves(own))
+        own, *parts = self.remembered[item]
+        for part in parts:
             if np.isin(part, terms, assume_unique=True).sum() < self.needed(len(part)):
                 return 0.0
-        own = self.shingles[item]
-        both = len(own & self._shingles(tokens, min(SHINGLE, len(self.tokens[item]))))
+        both = len(own & self._shingles(tokens, k))
         return both / len(own) if both >= self.needed(len(own)) else 0.0
 
     def matches(self, part: textbytes.Slice) -> Iterator[tuple[int, int, float, float, int]]:
@@ -131,14 +180,42 @@ class Items:
             yield part.first + r, item, score, share, -first
 
 
+def indexes(items: DataFrame, item: str, text: str) -> Iterator[Items]:
+    """The indexes of all shards, one after the other."""
+    rows = items.select(F.col(item).alias("item"), F.col(text).alias("text")).filter("text <> ''")
+    shards = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    if shards <= 1:
+        yield Items(*_columns(rows))
+        return
+
+    def make(batch: pa.RecordBatch) -> list:
+        prints = textbytes.fingerprints_of(text_column(batch, "text").to_pylist(), textbytes.ALNUM)
+        return [pa.array([p.view(np.int64) for p in prints], type=pa.list_(pa.int64()))]
+
+    dealt = written(add_columns(rows.withColumn("shard", (F.rand(1) * shards).cast("int")), "words array<long>", make), "leak-items")
+    n, words, longest = dealt.filter("size(words) > 0").agg(F.count("*"), F.sum(F.size("words")), F.max(F.size("words"))).first()
+    if not n:
+        yield Items([], [])
+        return
+    word = F.explode(F.array_distinct("words")).alias("word")
+    holders = written(dealt.select(word).groupBy("word").agg(F.count("*").alias("n")), "leak-holders")
+    for shard in range(shards):
+        part = dealt.filter(F.col("shard") == shard)
+        own = holders.join(part.select(word).distinct(), "word").collect()  # the words of one shard
+        yield Items(*_columns(part), Statistics(n, words, longest, {r["word"]: r["n"] for r in own}))
+
+
+def _columns(rows: DataFrame) -> tuple[list, list]:
+    collected = rows.select("item", "text").collect()  # the items of one shard
+    return [r[0] for r in collected], [r[1] for r in collected]
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, score, shared, first_word): every document and test item of which it holds a passage."""
-    rows = items.select(item, item_text).collect()  # the test sets, which do not grow with the corpus
-    index = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
     kind = pa.int64() if items.schema[item].dataType.simpleString() == "bigint" else None
     names = [key, item, "score", "shared", "first_word"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [m for part in textbytes.slices(text_column(batch, text)) for m in index.value.matches(part)]
             if found:
@@ -149,19 +226,29 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 )
 
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, score double, shared double, first_word long")
+    ddl = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, score double, shared double, first_word long"
+    out = None
+    for shard in indexes(items, item, item_text):
+        index = docs.sparkSession.sparkContext.broadcast(shard)
+        found = docs.select(key, text).mapInArrow(lambda batches, index=index: run(batches, index), ddl)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def flagged(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", name: str = "leaked") -> DataFrame:
     """All columns of the documents and whether each holds a passage of a test item."""
-    rows = items.select(item, item_text).collect()
-    index = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
 
-    def make(batch: pa.RecordBatch) -> list:
-        out = np.zeros(batch.num_rows, dtype=bool)
-        for part in textbytes.slices(text_column(batch, text)):
-            for match in index.value.matches(part):
-                out[match[0]] = True
-        return [out]
+    def add(rows: DataFrame, index, more: bool) -> DataFrame:
+        def make(batch: pa.RecordBatch) -> list:
+            out = text_column(batch, name).to_numpy(zero_copy_only=False).copy() if more else np.zeros(batch.num_rows, dtype=bool)
+            for part in textbytes.slices(text_column(batch, text)):
+                for match in index.value.matches(part):
+                    out[match[0]] = True
+            return [out]
+
+        return add_columns(written(rows, "leak-flags") if more else rows, f"{name} boolean", make)
 
-    return add_columns(docs, f"{name} boolean", make)
+    out = docs
+    for i, shard in enumerate(indexes(items, item, item_text)):
+        out = add(out, docs.sparkSession.sparkContext.broadcast(shard), i > 0)
+    return out

@@ -337,6 +337,28 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(frame(spark, [(1, "a")]), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_leaks_do_not_depend_on_shards(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(i, text_of(rng, rng.choice([1, 4, 12, 30]))) for i in range(40)] + [(50, None), (51, "  ")]
+    docs = [(i, text_of(rng, 60) + " " + (items[rng.randrange(40)][1] if i % 2 else "")) for i in range(60)]
+    d, t = frame(spark, docs), frame(spark, items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.leaks(d, t).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1000)
+    assert len(list(decontaminate.indexes(t, "item_id", "text"))) > 2
+    found = sorted(map(tuple, decontaminate.leaks(d, t).collect()))
+    assert [r[:2] for r in found] == [r[:2] for r in one] and np.allclose([r[2:] for r in found], [r[2:] for r in one])
+    assert {(r[0], r[1]) for r in found} == brute.leaks(dict(docs), dict(items))
+    assert {r.doc_id for r in decontaminate.flagged(d, t).collect() if r.leaked} == {r[0] for r in one}
+    assert decontaminate.flagged(d, t).count() == 60
+
+
+def test_index_of_many_items_is_sparse():
+    texts = [" ".join(f"v{(i * 7 + j * j) % 100_000}" for j in range(20)) for i in range(20_000)]
+    index = decontaminate.Items(list(range(20_000)), texts)
+    assert sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray)) < 32_000_000
+    assert (7, 1.0) in {(i, share) for i, _, share in index.passage(index._tokens(7).astype(np.int64))}
+
+
 # 8 Toxicity
 
 
