@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import covertree, decontaminate, html_text, jaccard, licenses, packing, quality, secret_scan, toxicity, url_cascade, whitening
+from regioflux.llm import covertree, decontaminate, html_text, impact_index, jaccard, licenses, packing, quality, secret_scan, toxicity, url_cascade, whitening
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +160,23 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
 
 
+@query(
+    """
+    WITH rows AS (
+        SELECT vec_id AS id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+        SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+        FROM rows q JOIN rows c ON q.id <> c.id WHERE q.id % 20 = 0
+    )
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+    QUALIFY rank <= 20
+    """
+)
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
