@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regioflux.llm import covertree, decontaminate, html_text, impact_index, jaccard, licenses, packing, quality, secret_scan, toxicity, url_cascade, whitening
+from regioflux.llm import alignment, covertree, decontaminate, html_text, impact_index, jaccard, licenses, packing, quality, secret_scan, toxicity, url_cascade, whitening
 from regioflux.llm.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 CAPACITY = 1024
 
 
@@ -177,6 +178,13 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_index.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query()
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = alignment.aligned(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    return alignment.add_counts(written(found, "aligned")).drop("groups")
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
