@@ -15,9 +15,7 @@ each; other columns of the pieces are kept, and columns named sequence_id or off
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -27,197 +25,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regioflux.llm.arrow import add_columns, text_column
+from regioflux.llm.byte_level import byte_level, in_slices
 from regioflux.llm.storage import written
 
-#: Words whose ids a worker remembers, and ids held for them; beyond either it starts anew.
-REMEMBERED = 1 << 19
-REMEMBERED_IDS = 1 << 22
-#: Bytes of text that are tokenized together.
-SLICE = 1 << 20
+#: Characters of text that are tokenized together.
+SLICE = 1 << 18
 BUCKETS_PER_PARTITION = 8
-#: Marks that end words; none of them is in the splitting pattern's shortened forms.
-MARKS = ".,;:!?*&%$#|"
+#: Buckets whose counts are summed up together before the sums over all buckets.
+BUCKETS_TOGETHER = 32
 
 
-class _Growing:
-    """An array that is appended to; it grows by doubling, so that appending costs what is appended."""
-
-    def __init__(self, first: list, dtype) -> None:
-        self.room = np.zeros(1024, dtype=dtype)
-        self.used = len(first)
-        self.room[: self.used] = first
-
-    def __len__(self) -> int:
-        return self.used
-
-    def append(self, values: np.ndarray) -> None:
-        end = self.used + len(values)
-        if end > len(self.room):
-            self.room = np.concatenate([self.room, np.zeros(max(len(self.room), end - len(self.room)), dtype=self.room.dtype)])
-        self.room[self.used : end] = values
-        self.used = end
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return self.room[at]
-
-
-class _Memory:
-    """Ids of words as they stand after a space, of first words, and of the end, in one array."""
-
-    def __init__(self, path: str, end: int, added: bool) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # Texts that hold an added token's content are encoded whole, by the tokenizer as it is.
-        self.whole = Tokenizer.from_file(path) if added else self.tokenizer
-        contents = [x.content for x in self.whole.get_added_tokens_decoder().values() if x.content] if added else []
-        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
-        self.end = end
-        # Fixed values of byte-level tokenizers: printable bytes stand for themselves, the others for code points from 256.
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.units = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.clear()
-
-    def clear(self) -> None:
-        self.after: dict[str, int] = {}
-        self.first: dict[str, int] = {}
-        self.ids = _Growing([self.end], np.uint32)
-        self.begin = _Growing([0], np.int64)
-        self.size = _Growing([1], np.int32)
-        self.apart = _Growing([True], bool)
-
-    def _encoded(self, words: list[str], before: str) -> list[list[int]]:
-        """Ids of words that stand alone. A word of letters is one unit before the merges, so it goes straight to them."""
-        found: list[list[int] | None] = [None] * len(words)
-        for i, w in enumerate(words):
-            if w.isalpha():
-                units = (before + w).encode().decode("latin1").translate(self.units)
-                found[i] = [x.id for x in self.tokenizer.model.tokenize(units)]
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(rest, self.tokenizer.encode_batch_fast([before + words[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = x.ids
-        return found
-
-    def _add(self, known: dict[str, int], words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        start = len(self.begin)
-        self.begin.append(len(self.ids) + np.cumsum(size) - size)
-        self.size.append(size)
-        self.ids.append(ids)
-        # A word that is empty or has white space at an end touches the space beside it: the split there isn't sure.
-        self.apart.append(np.fromiter((bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words), dtype=bool, count=len(words)))
-        known.update(zip(words, range(start, start + len(words)), strict=True))
-
-    def _learn_parts(self, known: dict[str, int], words: list[str], before: str) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            found = self._encoded(new, before)
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self._add(known, new, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum())), size)
-
-    def learn(self, known: dict[str, int], words: list[str], before: str) -> None:
-        """A word is put together from its parts where it is sure to be split: around a single line end, and between
-        letters and the marks that end them."""
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        parts: list[list[tuple[bool, str]]] = []
-        for w in new:
-            lines = w.split("\n")
-            if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-                lines = [w]
-            own: list[tuple[bool, str]] = []
-            for i, line in enumerate(lines):
-                if i:
-                    own.append((False, "\n"))
-                core = line.rstrip(MARKS)
-                own += [(not i, core), (False, line[len(core) :])] if core != line and core.isalpha() else [(not i, line)]
-            parts.append(own)
-        whole = [w for w, own in zip(new, parts, strict=True) if len(own) == 1]
-        self._learn_parts(known, whole + [x for own in parts for spaced, x in own if spaced], before)
-        self._learn_parts(self.first, [x for own in parts for spaced, x in own if not spaced], "")
-        made = [(w, own) for w, own in zip(new, parts, strict=True) if len(own) > 1]
-        if made:
-            at = np.fromiter((known[x] if spaced else self.first[x] for _, own in made for spaced, x in own), dtype=np.int64)
-            counts = np.fromiter((len(own) for _, own in made), dtype=np.int64, count=len(made))
-            size = self.size[at].astype(np.int64)
-            ids = self.ids[np.arange(int(size.sum())) + np.repeat(self.begin[at] - (np.cumsum(size) - size), size)]
-            self._add(known, [w for w, _ in made], ids, np.add.reduceat(size, np.cumsum(counts) - counts))
-
-    def look_up(self, known: dict[str, int], words: list[str], before: str) -> np.ndarray:
-        at = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self.learn(known, [words[i] for i in missing.tolist()], before)
-            at[missing] = np.fromiter((known[words[i]] for i in missing.tolist()), dtype=np.int64, count=len(missing))
-        return at
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with the end, one after the other, and how many each text has.
-
-        The pattern that splits text before the merges never joins what stands before and after a single space between other
-        characters, so words can be encoded one by one, a space before all but the first.
-        """
-        if len(self.begin) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
-            self.clear()
-        parts = [t.split(" ") for t in texts]
-        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        flat = list(chain.from_iterable(parts))
-        heads = np.cumsum(counts) - counts
-        at = self.look_up(self.after, flat, " ")
-        at[heads] = self.look_up(self.first, [p[0] for p in parts], "")
-        unsure = np.flatnonzero(np.bitwise_or.reduceat(~self.apart[at], heads))
-        if self.added:
-            unsure = np.union1d(unsure, [i for i, t in enumerate(texts) if self.added.search(t)]).astype(np.int64)
-        order = np.insert(at, np.cumsum(counts), 0)
-        counts = counts + 1
-        sizes = self.size[order].astype(np.int64)
-        shift = np.cumsum(sizes) - sizes
-        ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.begin[order] - shift, sizes)]
-        totals = np.add.reduceat(sizes, np.cumsum(counts) - counts)
-        if len(unsure):
-            cut = np.split(ids, np.cumsum(totals)[:-1])
-            for i in unsure.tolist():
-                whole = self.whole.encode(texts[i], add_special_tokens=False).ids
-                cut[i] = np.array([*whole, self.end], dtype=np.uint32)
-                totals[i] = len(cut[i])
-            ids = np.concatenate(cut)
-        return ids, totals
-
-
-_memories: dict[tuple[str, int, bool], _Memory] = {}
-
-
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= SLICE:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def tokenized(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, text: str = "text", added: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, text: str = "text") -> DataFrame:
     """Pieces of the documents: their other columns, piece, start, length, and ids as little-endian 32-bit numbers.
 
     A document is its ids and the end token. One of more than `capacity` ids is cut so that only its first piece may be shorter.
-    tokenizer: path of a tokenizer file that every worker can read.
-    added: the content of an added token, such as <|endoftext|>, becomes that token, as the tokenizer's encode does by itself; otherwise it is
-    text like other text.
+    tokenizer: path of a tokenizer file that every worker can read. The content of an added token, such as <|endoftext|>, becomes that token.
     """
     kept = [f for f in docs.schema if f.name.lower() not in {text.lower(), "piece", "start", "length", "ids"}]
     schema = T.StructType([*kept, *T.StructType.fromDDL("piece int, start long, length long, ids binary")])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, end, added) not in _memories:
-            _memories[tokenizer, end, added] = _Memory(tokenizer, end, added)
-        memory = _memories[tokenizer, end, added]
+        encoder = byte_level(tokenizer, added=True)
         for batch in batches:
-            texts = [t or "" for t in text_column(batch, text).to_pylist()]
-            for first, last in _slices(texts):
-                ids, totals = memory.encode(texts[first:last])
+            first = 0
+            for texts in in_slices([t or "" for t in text_column(batch, text).to_pylist()], SLICE):
+                ids, totals = encoder.encode_all(texts)
+                ids = np.insert(ids, np.cumsum(totals), end)
+                totals = totals + 1
                 pieces = -(-totals // capacity)
                 row = np.repeat(np.arange(len(totals)), pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -226,9 +61,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 102
                 length = np.where(piece > 0, capacity, head[row])
                 offsets = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
-                old = batch.slice(first, last - first).select(names).take(pa.array(row)) if names else None
+                old = batch.slice(first, len(texts)).select(names).take(pa.array(row)) if names else None
                 columns = [old.column(i) for i in range(len(names))] if names else []
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data], names=schema.names)
+                first += len(texts)
 
     return docs.mapInArrow(run, schema)
 
@@ -314,8 +150,12 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     counts = written(rows.groupBy("_bucket", "_length").agg(F.count("*").alias("_n")), "pack-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("_n")).collect()}  # capacity rows at most
     slots = plan(histogram, capacity)
-    before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", "_length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # Numbers before a bucket, in two levels, so that a length that all buckets hold is no one task's work.
+    counts = counts.withColumn("_some", F.floor(F.col("_bucket") / BUCKETS_TOGETHER))
+    before = lambda keys, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.groupBy("_length", "_some").agg(F.sum("_n").alias("_n")).select("_length", "_some", before(["_length"], "_some").alias("_first"))
+    offsets = counts.withColumn("_before", before(["_length", "_some"], "_bucket")).join(sums, ["_length", "_some"])
+    offsets = offsets.select("_bucket", "_length", (F.col("_before") + F.col("_first")).alias("_before"))
     within = Window.partitionBy("_bucket", "_length").orderBy(*pieces.columns)
     numbered = (
         rows.withColumn("_number", F.row_number().over(within) - 1)

@@ -102,7 +102,6 @@ def test_packing_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     packed = packing.pack(packing.tokenized(docs, path, capacity=256), 256).collect()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     expected = sorted((i, tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows)
     pieces: dict = {}
     for r in packed:
