@@ -3,10 +3,10 @@
 The items are the indexed side. They are dealt into shards of about SHARD_BYTES of text, each with an inverted index of its own under
 statistics of all items: postings as impacts, sorted by term and item, and for each term the largest impact in each block of items that it
 occurs in. Nothing grows with vocabulary times items. The driver and a task hold one shard at a time. Documents are cut into passages that
-overlap by half and are longer than twice the longest item, so that every occurrence of an item lies within a passage. A passage is a query:
-terms' largest impacts bound its score, first over all items, then in the blocks that its terms occur in, and only postings of blocks whose bound
-reaches their least threshold are scored. The bounds of a passage are added up at once, block by block, in place of WAND's pivots, which move item by item.
-All items that reach their threshold are retrieved. An item's threshold is its score against itself less the most that a passage may
+overlap by half and are longer than twice the longest item, so that every occurrence of an item lies within a passage. Every passage is a query of
+block-max WAND, over blocks of items in the order of their thresholds; some hundred passages move from pivot to pivot in lockstep, as rows of one
+array of cursors. Only postings of blocks whose largest impacts reach their least threshold are scored. All items that reach their threshold are
+retrieved. An item's threshold is its score against itself less the most that a passage may
 lose and still be verified, so no match is lost.
 
 A match is verified by SHARE: of the item's shingles of five words (fewer words: the whole), and of the different words of its question (first two thirds)
@@ -35,6 +35,8 @@ BLOCK = 16
 SHINGLE = 5
 SHARE = 0.8
 ANSWER = 1 / 3
+#: Passages that are searched in lockstep.
+TOGETHER = 1024
 #: Bytes of items' text in a shard, about, and items whose parts a worker remembers.
 SHARD_BYTES = 8 << 20
 REMEMBERED = 4096
@@ -99,6 +101,7 @@ class Items:
         key = term[by] * (len(self.block_least) + 1) + self.place // BLOCK
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         self.block = self.place[first] // BLOCK
+        self.block_key = key[first]
         self.block_first = np.append(first, len(key))
         self.block_most = np.maximum.reduceat(self.impact, first)
         self.term_first = np.searchsorted(term[by][first], np.arange(len(vocabulary) + 1))
@@ -123,24 +126,61 @@ class Items:
         rows = tokens.tolist()
         return {tuple(rows[i : i + k]) for i in range(len(rows) - k + 1)} if k else set()
 
-    def passage(self, tokens: np.ndarray) -> list[tuple[int, float, float]]:
-        """(item, score, shared shingles) of every verified item in a passage; tokens outside the vocabulary are -1."""
-        terms = np.unique(tokens)
-        terms = terms[terms >= 0]
-        blocks = _ranges(self.term_first[terms], self.term_first[terms + 1])
-        touched, number = np.unique(self.block[blocks], return_inverse=True)
-        may = np.bincount(number, self.block_most[blocks], len(touched)) >= self.block_least[touched]
-        blocks = blocks[may[number]]
-        postings = _ranges(self.block_first[blocks], self.block_first[blocks + 1])
-        places, number = np.unique(self.place[postings], return_inverse=True)
-        scores = np.bincount(number, self.impact[postings], len(places))
-        out = []
-        for j in np.flatnonzero(scores >= self.threshold[places]).tolist():
-            item = int(self.order[places[j]])
-            share = self._verified(item, terms, tokens)
-            if share:
-                out.append((item, float(scores[j]), share))
-        return out
+    def blocks_of(self, passage: np.ndarray, term: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, place in the block lists) of every list entry in the blocks that may hold a match, for pairs of a passage and a term.
+
+        Block-max WAND for all passages in lockstep: a row of cursors for each passage, one cursor in the block list of each of its terms. A
+        step sorts the cursors by block and finds the pivot, the first block that the largest impacts of all lists up to it can lift to its least
+        threshold; thresholds rise with the blocks. Cursors before the pivot jump to it without a look at what lies between. The block's own largest
+        impacts then tell whether it is passed on, and the cursors leave it. Passages without a pivot are finished and drop out.
+        """
+        counts = np.bincount(passage, minlength=passages)
+        first = np.cumsum(counts) - counts
+        slot = np.arange(len(term)) - first[passage]
+        none = len(self.block)
+        block = np.append(self.block, len(self.block_least))
+        block_most = np.append(self.block_most, 0.0)
+        least = np.append(self.block_least, np.inf)
+        shape = (passages, int(counts.max(initial=0)))
+        cursor, stop, of = np.full(shape, none), np.full(shape, none), np.zeros(shape, dtype=np.int64)
+        most = np.zeros(shape)
+        cursor[passage, slot], stop[passage, slot], of[passage, slot] = self.term_first[term], self.term_first[term + 1], term
+        most[passage, slot] = self.most[term]
+        number = np.arange(passages)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        alive = (most.sum(axis=1) >= least[0]) & (counts > 0)
+        while True:
+            if not alive.all():
+                number, cursor, stop, of, most = (x[alive] for x in (number, cursor, stop, of, most))
+            if not len(number):
+                break
+            at = block[cursor]
+            order = np.argsort(at, axis=1)
+            ordered = np.take_along_axis(at, order, axis=1)
+            reaches = np.cumsum(np.take_along_axis(most, order, axis=1), axis=1) >= least[ordered]
+            pivot = np.where(reaches.any(axis=1), np.take_along_axis(ordered, reaches.argmax(axis=1)[:, None], axis=1)[:, 0], len(self.block_least))
+            alive = pivot < len(self.block_least)
+            behind = at < pivot[:, None]
+            cursor[behind] = np.searchsorted(self.block_key, (of * (len(self.block_least) + 1) + pivot[:, None])[behind])
+            cursor = np.where(cursor < stop, cursor, none)
+            here = (block[cursor] == pivot[:, None]) & alive[:, None]
+            enough = np.where(here, block_most[cursor], 0.0).sum(axis=1) >= least[pivot]
+            row, column = np.nonzero(here & enough[:, None])
+            out.append((number[row], cursor[row, column]))
+            cursor = cursor + here
+            cursor = np.where(cursor < stop, cursor, none)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+    def candidates(self, passage: np.ndarray, term: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of every item that reaches its threshold."""
+        of, entry = self.blocks_of(passage, term, passages)
+        postings = _ranges(self.block_first[entry], self.block_first[entry + 1])
+        key = np.repeat(of, self.block_first[entry + 1] - self.block_first[entry]) * len(self.threshold) + self.place[postings]
+        pairs, number = np.unique(key, return_inverse=True)
+        scores = np.bincount(number, self.impact[postings], len(pairs))
+        of, place = np.divmod(pairs, len(self.threshold))
+        enough = scores >= self.threshold[place]
+        return of[enough], self.order[place[enough]], scores[enough]
 
     def _verified(self, item: int, terms: np.ndarray, tokens: np.ndarray) -> float:
         k = min(SHINGLE, int(self.begin[item + 1] - self.begin[item]))
@@ -162,8 +202,6 @@ class Items:
             return
         found = textbytes.words(part, inside=textbytes.ALNUM)
         ids = self.lookup(textbytes.fingerprints(found))
-        weight = np.where(ids >= 0, self.most[ids], 0.0)
-        total = np.concatenate([[0.0], np.cumsum(weight)])
         step = max(self.longest, 32)
         counts = np.diff(found.first)
         passages = np.maximum(1, -(-counts // step) - 1) * (counts > 0)
@@ -171,11 +209,17 @@ class Items:
         low = found.first[:-1][row] + step * (np.arange(len(row)) - np.repeat(np.cumsum(passages) - passages, passages))
         high = np.minimum(low + 2 * step, found.first[1:][row])
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
-        for i in np.flatnonzero(total[high] - total[low] >= self.threshold[0] * (1 - 1e-6)).tolist():
-            for item, score, share in self.passage(ids[low[i] : high[i]]):
-                at = (int(row[i]), item)
-                value = (share, score, -int(low[i] - found.first[row[i]]))
-                best[at] = max(best.get(at, value), value)
+        for a in range(0, len(row), TOGETHER):
+            tokens = ids[_ranges(low[a : a + TOGETHER], high[a : a + TOGETHER])]
+            key = np.repeat(np.arange(len(low[a : a + TOGETHER])), (high - low)[a : a + TOGETHER]) * len(self.most) + tokens
+            passage, term = np.divmod(np.unique(key[tokens >= 0]), len(self.most))
+            edges = np.searchsorted(passage, np.arange(len(low[a : a + TOGETHER]) + 1))
+            for i, item, score in zip(*(x.tolist() for x in self.candidates(passage, term, len(edges) - 1)), strict=True):
+                share = self._verified(item, term[edges[i] : edges[i + 1]], ids[low[a + i] : high[a + i]])
+                if share:
+                    at = (int(row[a + i]), item)
+                    value = (share, score, -int(low[a + i] - found.first[row[a + i]]))
+                    best[at] = max(best.get(at, value), value)
         for (r, item), (share, score, first) in sorted(best.items()):
             yield part.first + r, item, score, share, -first
 
