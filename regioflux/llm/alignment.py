@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regioflux.llm.arrow import by_bytes
 from regioflux.llm.byte_level import byte_level, in_slices
 from regioflux.llm.storage import written
 
@@ -259,7 +260,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
 
     kind = rows.schema["_key"].dataType.simpleString()
     made = "n_a long, n_b long, n_links long, groups_sha256 string, groups string, links binary, a int, b int, pair int, n long"
-    return rows.mapInArrow(run, f"block long, _key {kind}, {made}")
+    return by_bytes(rows).mapInArrow(run, f"block long, _key {kind}, {made}")
 
 
 def add_counts(found: DataFrame, key: str = "doc_id") -> DataFrame:

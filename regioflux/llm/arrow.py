@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Bytes of a batch that goes to Python. By rows alone, the default, a batch of long texts has no bound.
+BATCH_BYTES = 4 << 20
+
+
+def by_bytes(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded by bytes. A bound that the session has already stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def fields(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -27,7 +39,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list])
                 columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) if not isinstance(x, pa.Array) else x for x in make(batch))], names=[*names, *new])
 
-    return df.mapInArrow(run, T.StructType([*kept, *added]))
+    return by_bytes(df).mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:

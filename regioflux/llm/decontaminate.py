@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioflux.llm import textbytes
-from regioflux.llm.arrow import add_columns, text_column
+from regioflux.llm.arrow import add_columns, by_bytes, text_column
 from regioflux.llm.storage import written
 
 K1, B = 1.2, 0.75
@@ -274,7 +274,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     out = None
     for shard in indexes(items, item, item_text):
         index = docs.sparkSession.sparkContext.broadcast(shard)
-        found = docs.select(key, text).mapInArrow(lambda batches, index=index: run(batches, index), ddl)
+        found = by_bytes(docs.select(key, text)).mapInArrow(lambda batches, index=index: run(batches, index), ddl)
         out = found if out is None else out.union(found)
     return out
 

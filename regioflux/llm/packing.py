@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regioflux.llm.arrow import add_columns, text_column
+from regioflux.llm.arrow import add_columns, by_bytes, text_column
 from regioflux.llm.byte_level import byte_level, in_slices
 from regioflux.llm.storage import written
 
@@ -66,7 +66,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = 102
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data], names=schema.names)
                 first += len(texts)
 
-    return docs.mapInArrow(run, schema)
+    return by_bytes(docs).mapInArrow(run, schema)
 
 
 class Plan(NamedTuple):
