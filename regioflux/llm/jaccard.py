@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from regioflux.llm import textbytes
 from regioflux.llm.arrow import text_column
 from regioflux.llm.components import components
-from regioflux.llm.storage import written
+from regioflux.llm.storage import drop, release, written
 
 
 class Rule(NamedTuple):
@@ -209,6 +209,7 @@ def holders(rows: DataFrame, rule: Rule) -> DataFrame:
         part(_SLACK, 24).alias("slack"), part(0, 24).alias("segment"),
     )
     shared = written(shared, "shared-keys")
+    release(rows.sparkSession)
     cut = F.array(*(F.lit(int(x)) for x in bands(rule.num, rule.den).deletions))
     place = ["print", "band", "own", "segment"]
     of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("cost")).otherwise(0)).cast("double")
@@ -229,7 +230,9 @@ def holders(rows: DataFrame, rule: Rule) -> DataFrame:
         .agg(F.sum(F.when((F.col("rank") <= F.col("slack")) & (F.col("x.cost") > 0), 0).otherwise(1)).alias("units"))
     )
     weight = shared.groupBy("print").agg(F.sum("cost").alias("weight"))
-    return shared.join(spent, place).join(weight, "print").select("key", "print", "full", "own", "kind", "units", "weight")
+    held = written(shared.join(spent, place).join(weight, "print").select("key", "print", "full", "own", "kind", "units", "weight"), "key-holders")
+    drop(shared)
+    return held
 
 
 def _asks(one: str, other: str) -> F.Column:
@@ -364,15 +367,20 @@ def stored_sets(docs: DataFrame, known: DataFrame, prints: DataFrame, k: int, ke
 def groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the least key reachable by links."""
     known = written(digests(docs, rule.k, key, text), "set-prints")
-    held = written(holders(index(docs, rule, text), rule), "key-holders")
+    held = holders(index(docs, rule, text), rule)
     pairs = written(star_pairs(held), "first-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("print")).union(loose(held)).distinct()
     stored = written(stored_sets(docs, known, needed, rule.k, key, text), "sets")
+    release(docs.sparkSession)
     links = written(linked(pairs, stored, rule), "first-links")
+    release(docs.sparkSession)
     merged = written(components(links), "first-groups")
     again_asked = stored.join(loose(held, merged), "print", "left_semi")
     pairs = written(other_pairs(elements(again_asked, rule), merged, pairs, rule), "other-pairs")
+    drop(held)
+    release(docs.sparkSession)
     more = written(linked(pairs, stored, rule), "other-links")
+    drop(stored)
     again = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     of_print = known.filter("n_shingles > 0").groupBy("print").agg(F.min(key).alias("_least"))
     of_print = of_print.join(again.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))

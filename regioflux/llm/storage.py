@@ -33,3 +33,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that `written` made and that no table still to be computed reads."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.removeprefix("file:").lstrip("/") not in path:
+            raise ValueError(f"{path} is not in {folder}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now. It does so when the driver's JVM collects their plans, which may take long."""
+    spark._jvm.System.gc()
