@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regioflux.llm.storage import written
+from regioflux.llm.storage import drop, written
 
 
 def _hooked(edges: DataFrame, keep) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        before, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        drop(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -260,13 +260,12 @@ def _mixed(held: DataFrame, merged: DataFrame) -> DataFrame:
     return named.withColumns(ends).filter("_low <> _high").drop(*ends)
 
 
-def loose(held: DataFrame, merged: DataFrame | None = None) -> DataFrame:
-    """(print) of the sets that a key makes a candidate with a set of another component, in either part; at first every set is its own.
+def loose(named: DataFrame) -> DataFrame:
+    """(print) of the sets that a key makes a candidate with a set of another component, in either part.
 
     The units of either set are enough to find a pair, so the set of less weight asks, whose keys fewer others hold. Only a set that
     kept empty segments among its own may have spent units on one that the other set has left out; then both ask.
     """
-    named = held.withColumn("component", F.col("print")) if merged is None else written(_mixed(held, merged), "mixed-keys")
     columns = ("print", "full", "own", "kind", "units", "weight", "component")
     asking = named.filter("units = 2 or (units = 1 and kind = 0)").select("key", *(F.col(c).alias(f"p_{c}") for c in columns))
     lighter = F.struct("p_weight", "p_print") < F.struct("weight", "print")
@@ -305,13 +304,12 @@ def elements(stored: DataFrame, rule: Rule) -> DataFrame:
     return shared.select("key", "print", "n", "weight", "place", (F.col("place") <= spend).alias("asks"))
 
 
-def other_pairs(shared: DataFrame, merged: DataFrame, done: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of sets of different components where the lighter one asks with a shared element; not those done.
+def other_pairs(named: DataFrame, done: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of sets of different components, among elements that several components share, where the lighter one asks with a shared element; not those done.
 
     If that is the first element they share, from the rarest on, they share no more than it and what either has left; a pair that links
     passes this bound there.
     """
-    named = written(_mixed(shared, merged), "mixed-elements")
     asking = named.filter("asks").select("key", *(F.col(c).alias(f"p_{c}") for c in ("print", "n", "weight", "place", "component")))
     most = F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) + 1
     both = asking.join(named, "key").filter(
@@ -369,16 +367,26 @@ def groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text")
     known = written(digests(docs, rule.k, key, text), "set-prints")
     held = holders(index(docs, rule, text), rule)
     pairs = written(star_pairs(held), "first-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("print")).union(loose(held)).distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("print")).union(loose(held.withColumn("component", F.col("print")))).distinct()
     stored = written(stored_sets(docs, known, needed, rule.k, key, text), "sets")
     release(docs.sparkSession)
     links = written(linked(pairs, stored, rule), "first-links")
     release(docs.sparkSession)
     merged = written(components(links), "first-groups")
-    again_asked = stored.join(loose(held, merged), "print", "left_semi")
-    pairs = written(other_pairs(elements(again_asked, rule), merged, pairs, rule), "other-pairs")
+    mixed = written(_mixed(held, merged), "mixed-keys")
     drop(held)
     release(docs.sparkSession)
+    asked = written(loose(mixed), "loose-sets")
+    drop(mixed)
+    release(docs.sparkSession)
+    shared = written(elements(stored.join(asked, "print", "left_semi"), rule), "elements")
+    release(docs.sparkSession)
+    mixed = written(_mixed(shared, merged), "mixed-elements")
+    drop(shared)
+    release(docs.sparkSession)
+    pairs = written(other_pairs(mixed, pairs, rule), "other-pairs")
+    drop(mixed)
+    release(docs.sparkSession)
     more = written(linked(pairs, stored, rule), "other-links")
     drop(stored)
     again = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
