@@ -84,6 +84,54 @@ def centroids(vertices: DataFrame) -> DataFrame:
     )
 
 
+def _unit(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """The point of the unit sphere at a longitude and latitude in degrees."""
+    lon, lat = F.radians(lon), F.radians(lat)
+    return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+
+
+def sphere_moments(vertices: DataFrame) -> DataFrame:
+    """Per ring the integral of the unit normal over the region inside (mx, my, mz) and the sum of its vertices (sx, sy, sz).
+
+    The integral is half the sum, over the ring's great-circle edges, of an edge's angle times the unit normal of its plane. So edges of all
+    blocks of a ring just add up, and no edge needs to know where the date line or a pole is. The cross product is taken with the difference
+    of an edge's ends, which keeps its digits for short edges.
+    """
+    edges = ring_edges(vertices)
+    ends = zip("xyz", _unit(F.col("x1"), F.col("y1")), _unit(F.col("x2"), F.col("y2")), strict=True)
+    at = edges.select(*RING, *(c for n, p, q in ends for c in (p.alias(f"p{n}"), (q - p).alias(f"d{n}"))))
+    turned = at.select(
+        "*",
+        (F.col("py") * F.col("dz") - F.col("pz") * F.col("dy")).alias("cx"),
+        (F.col("pz") * F.col("dx") - F.col("px") * F.col("dz")).alias("cy"),
+        (F.col("px") * F.col("dy") - F.col("py") * F.col("dx")).alias("cz"),
+    )
+    long = lambda v: F.sqrt(sum((F.col(v + n) * F.col(v + n) for n in "xyz"), F.lit(0.0)))
+    # The angle over its sine; the half chord gives the angle of any edge, also of one near half a circle.
+    angle = F.asin(F.least(F.lit(1.0), long("d") / 2)) * 2
+    weight = F.when(long("c") > 0, angle / long("c") / 2).otherwise(0.0)
+    sums = [F.sum(weight * F.col(f"c{n}")).alias(f"m{n}") for n in "xyz"] + [F.sum(f"p{n}").alias(f"s{n}") for n in "xyz"]
+    return turned.groupBy(*RING).agg(*sums)
+
+
+def sphere_centroids(vertices: DataFrame) -> DataFrame:
+    """(geo_id, lon, lat): centroid on the sphere of regions whose vertices are in degrees, holes taken out, any winding.
+
+    A ring's inside is the side its vertices lean to, which holds for rings of less than a hemisphere. A region across the date line is one
+    region; longitudes beyond 180 degrees are fine. A region without area has no centroid. Edges are great circles.
+    """
+    lean = sum((F.col(f"m{n}") * F.col(f"s{n}") for n in "xyz"), F.lit(0.0))
+    turn = F.signum(lean) * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
+    sums = sphere_moments(vertices).groupBy("geo_id").agg(*[F.sum(turn * F.col(f"m{n}")).alias(n) for n in "xyz"])
+    flat = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    some = (flat > 0) | (F.col("z") != 0)
+    return sums.select(
+        "geo_id",
+        F.when(some, F.degrees(F.atan2("y", "x"))).alias("lon"),
+        F.when(some, F.degrees(F.atan2(F.col("z"), flat))).alias("lat"),
+    )
+
+
 def boxes(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("geo_id").agg(
         F.min("x").alias("west"),

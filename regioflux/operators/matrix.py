@@ -62,17 +62,33 @@ def matrix_cells(cells: DataFrame, regions: Sequence[str]) -> DataFrame:
     return body.join(header_columns(cells, regions), [*SHEET, "col"]).drop("col")
 
 
+def sheet_frame(cells: DataFrame, regions: Sequence[str]) -> DataFrame:
+    """(file, sheet, year, row, col, current_state, origin_state): every labelled row with every headed column of its sheet.
+
+    Labels and headings of a sheet are gathered in one pass over its first column and its heading row; a sheet's format
+    bounds them to 1,048,576 rows and 16,384 columns.
+    """
+    at = F.col("row")
+    name = trim_blank(F.col("value"))
+    heads = F.when((at == HEADER_ROW) & in_set(name, regions), F.struct("col", name.alias("origin_state")))
+    label = (at > LAST_HEAD_ROW) & (F.col("col") == 1) & in_set(name, regions)
+    labels = F.when(label, F.struct("row", "year", name.alias("current_state")))
+    edges = cells.where((at == HEADER_ROW) | ((at > LAST_HEAD_ROW) & (F.col("col") == 1)))
+    sheets = edges.groupBy(*SHEET).agg(F.collect_list(heads).alias("heads"), F.collect_list(labels).alias("labels"))
+    rows = sheets.select(*SHEET, "heads", F.inline("labels"))
+    return rows.select(*SHEET, "row", "year", "current_state", F.inline("heads"))
+
+
 def flows_from_cells(cells: DataFrame, regions: Sequence[str]) -> DataFrame:
     """Long flows straight from the cells. Cells are long already, so the wide matrix is never built.
 
-    A cell that is absent from the sheet gives no row; matrix_from_cells gives it as a missing value.
+    Every labelled row has a flow from every headed column of its sheet: a cell that is absent from the sheet is a flow with
+    missing migrants, so a region whose whole row is empty stays too. The cells are read twice.
     """
-    labels = row_labels(cells, regions)
-    return (
-        matrix_cells(cells, regions)
-        .join(labels, [*SHEET, "row"])
-        .select("current_state", "origin_state", "year", clean_count(F.col("value")).alias("migrants"))
-    )
+    frame = sheet_frame(cells, regions)
+    body = skip_rows(cells, LAST_HEAD_ROW).where(F.col("col") > 1).select(*SHEET, "row", "col", "value")
+    filled = frame.join(body, [*SHEET, "row", "col"], "left")
+    return filled.select("current_state", "origin_state", "year", clean_count(F.col("value")).alias("migrants"))
 
 
 def matrix_from_cells(cells: DataFrame, regions: Sequence[str]) -> DataFrame:

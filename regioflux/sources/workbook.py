@@ -50,7 +50,7 @@ def assign_years(files: DataFrame, years: Sequence[int]) -> DataFrame:
         "file",
         # A file beyond the limit has no pair: the numbers differ.
         F.when(F.col("_file").isNull(), problem).otherwise(F.col("year")).alias("year"),
-        "content",
+        *[c for c in files.columns if c != "file"],
     )
 
 

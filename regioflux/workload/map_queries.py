@@ -26,6 +26,31 @@ def geo_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("geo_id", "area", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+@query(
+    """, corners AS (
+        SELECT geo_id, seq, cos(radians(y / 2)) * cos(radians(x * 4 - 200)) AS px, cos(radians(y / 2)) * sin(radians(x * 4 - 200)) AS py,
+            sin(radians(y / 2)) AS pz
+        FROM parcels
+    ), edges AS (
+        SELECT *, lead(px) OVER w AS qx, lead(py) OVER w AS qy, lead(pz) OVER w AS qz FROM corners
+        WINDOW w AS (PARTITION BY geo_id ORDER BY seq)
+    ), normals AS (
+        SELECT *, py * qz - pz * qy AS cx, pz * qx - px * qz AS cy, px * qy - py * qx AS cz, px * qx + py * qy + pz * qz AS dot
+        FROM edges WHERE qx IS NOT NULL
+    ), moments AS (
+        SELECT geo_id, sum(a * cx) AS x, sum(a * cy) AS y, sum(a * cz) AS z
+        FROM (SELECT *, atan2(sqrt(cx * cx + cy * cy + cz * cz), dot) / sqrt(cx * cx + cy * cy + cz * cz) AS a FROM normals)
+        GROUP BY 1
+    )
+    SELECT geo_id, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS lat FROM moments""",
+    ("parcels",),
+)
+def geo_centroid_sphere(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids on the sphere of cells of 4 by 1/2 degrees, some of them across the date line."""
+    globe = fx.parcel_vertices(spark, sf).withColumns({"x": F.col("x") * 4 - 200, "y": F.col("y") / 2})
+    return geo.sphere_centroids(globe).select("geo_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 @query(
     """SELECT * FROM (SELECT geo_id, min(x) AS west, min(y) AS south, max(x) AS east, max(y) AS north
         FROM parcels GROUP BY 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.errors import PySparkException
 
 from conftest import rows
 from regioflux.operators import matrix
+from regioflux.operators.flows import balance
 from regioflux.plans import county_flows, state_flows
 from regioflux.sources import workbook
 from regioflux.workload.xlsx_writer import MAIN, OFFICE, PACKAGE, workbook_bytes
@@ -70,10 +72,25 @@ def test_state_flows_from_folder(spark, folder):
         (2021, "Ohio", "Ohio", None),
         (2021, "Ohio", "Texas", 1234.0),
         (2021, "Texas", "Ohio", 7.0),
+        (2021, "Texas", "Texas", None),
         (2022, "Ohio", "Ohio", None),
         (2022, "Ohio", "Texas", 20.0),
         (2022, "Texas", "Ohio", 3000.0),
+        (2022, "Texas", "Texas", None),
     ]
+    plan = flows._jdf.queryExecution().executedPlan().toString()
+    # The scan itself has two steps; labels with headings and the body each take it once.
+    assert len(re.findall(r"MapInPandas \w+\(", plan)) <= 4
+
+
+def test_region_with_an_empty_row_stays(spark):
+    empty = [("Table", 16, 1, "Utah"), ("Table", 7, 8, "Utah")]
+    cells = spark.createDataFrame([("f", s, 2021, r, c, v) for s, r, c, v in state_sheet(["1", "2"]) + empty], CELLS)
+    flows = matrix.flows_from_cells(cells, ("Ohio", "Texas", "Utah"))
+    assert rows(flows.where("current_state = 'Utah'"), "origin_state", "migrants") == [("Ohio", None), ("Texas", None), ("Utah", None)]
+    assert rows(flows.where("origin_state = 'Utah'"), "current_state", "migrants") == [("Ohio", None), ("Texas", None), ("Utah", None)]
+    assert flows.count() == 9
+    assert rows(balance(flows).where("state = 'Utah'"), "state", "inflow", "outflow") == [("Utah", 0.0, 0.0)]
 
 
 def test_matrix_keeps_missing_cells(spark):

@@ -237,3 +237,35 @@ def test_state_risk(spark):
     boundaries = spark.createDataFrame([("1", "A County", "TX")], "GEOID string, NAMELSAD string, STUSPS string")
     checked = hazard_risk.id_mismatches(counties, boundaries)
     assert rows(checked, "GEOID", "Name")[:2] == [("00001", "A County, TX"), ("00002", None)]
+
+
+def degrees_ring(spark, rings):
+    """(geo_id, part, ring, seq, x, y) from {(geo_id, ring): corners}."""
+    rows = [(g, 0, r, i, float(x), float(y)) for (g, r), corners in rings.items() for i, (x, y) in enumerate([*corners, corners[0]])]
+    return spark.createDataFrame(rows, "geo_id long, part int, ring int, seq int, x double, y double")
+
+
+def test_centroid_on_the_sphere(spark):
+    square = [(-10, -10), (10, -10), (10, 10), (-10, 10)]
+    across = [(170, 40), (-170, 40), (-170, 60), (170, 60)]
+    cap = [(lon, 80) for lon in range(0, 360, 10)]
+    small = [(8.0, 47.0), (8.00001, 47.0), (8.00001, 47.00001), (8.0, 47.00001)]
+    hole = [(-2, -5), (-2, 5), (8, 5), (8, -5)]
+    rings = {(1, 0): square, (2, 0): across, (3, 0): cap, (4, 0): small, (5, 0): square, (5, 1): hole, (6, 0): [(0, 0), (1, 0)], (7, 0): across[::-1]}
+    found = {r.geo_id: r for r in geo.sphere_centroids(degrees_ring(spark, rings)).collect()}
+    assert abs(found[1].lon) < 1e-9 and abs(found[1].lat) < 1e-9
+    assert abs(abs(found[2].lon) - 180) < 1e-9 and 49 < found[2].lat < 51.5
+    assert abs(found[7].lon - found[2].lon) % 360 < 1e-9 and abs(found[7].lat - found[2].lat) < 1e-9
+    assert found[3].lat > 89.999999
+    assert abs(found[4].lon - 8.000005) < 2e-7 and abs(found[4].lat - 47.000005) < 2e-7
+    assert found[5].lon < -0.5 and abs(found[5].lat) < 1e-9
+    assert found[6].lon is None
+
+
+def test_centroid_on_the_sphere_does_not_depend_on_blocks(spark, monkeypatch):
+    ring = [(math.cos(t / 500 * math.pi) * 20 + 5, math.sin(t / 500 * math.pi) * 10) for t in range(1000)]
+    vertices = degrees_ring(spark, {(1, 0): ring})
+    one = geo.sphere_centroids(vertices).first()
+    monkeypatch.setattr(geo.ring_edges, "__defaults__", (64,))
+    other = geo.sphere_centroids(vertices).first()
+    assert abs(one.lon - other.lon) < 1e-9 and abs(one.lat - other.lat) < 1e-9 and abs(one.lon - 5) < 1e-6

@@ -7,10 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from plan_text import executed
 from regioflux.operators import ranks
+from regioflux.workload import county_queries, flow_queries, map_queries, risk_queries  # noqa: F401
 from regioflux.workload import fixtures as fx
+from regioflux.workload.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 PYTHON_SCANS = {"cells_scan", "file_years"}
@@ -24,9 +25,9 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_shape_of_every_query(spark, name):
-    plan = physical(entry_points.queries()[name](spark, SMALL))
+    plan = physical(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON_SCANS:
@@ -35,16 +36,16 @@ def test_shape_of_every_query(spark, name):
 
 @pytest.mark.parametrize("name", ["cvi_rating", "nri_state_risk", "indicator_ratings", "pct_rank_scale", "top_states", "top_focus_flows"])
 def test_ranks_do_not_gather_rows_in_one_task(spark, name):
-    plan = physical(entry_points.queries()[name](spark, SMALL))
+    plan = physical(QUERIES[name](spark, SMALL))
     for part in plan.split("SinglePartition")[1:]:
         # Only partial results of a global aggregate may meet: the next operator is that aggregate.
         assert re.match(r"[^\n]*\n[\s:|+-]*\*?(\(\d+\) )?\w*(Aggregate|Project)", part)
 
 
 def test_columns_and_filters_reach_the_scan(spark):
-    plan = physical(entry_points.queries()["pct_rank_scale"](spark, SMALL))
+    plan = physical(QUERIES["pct_rank_scale"](spark, SMALL))
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_extendedprice:double>" in plan
-    flows = physical(entry_points.queries()["state_net"](spark, SMALL))
+    flows = physical(QUERIES["state_net"](spark, SMALL))
     assert "l_extendedprice" not in flows and "o_totalprice" not in flows
 
 
@@ -59,23 +60,23 @@ def test_threshold_is_pushed_to_a_table_of_incidents(spark, tmp_path):
 
 
 def test_top_per_group_cuts_before_the_shuffle(spark):
-    plan = physical(entry_points.queries()["top_focus_flows"](spark, SMALL))
+    plan = physical(QUERIES["top_focus_flows"](spark, SMALL))
     assert plan.count("WindowGroupLimit") == 2
 
 
 def test_first_rows_are_taken_without_a_full_sort(spark):
-    plan = physical(entry_points.queries()["county_top10"](spark, SMALL))
+    plan = physical(QUERIES["county_top10"](spark, SMALL))
     assert "TakeOrderedAndProject" in plan
 
 
 def test_histogram_is_shuffled_once(spark):
-    plan = executed(entry_points.queries()["pct_rank_scale"](spark, SMALL))
+    plan = executed(QUERIES["pct_rank_scale"](spark, SMALL))
     assert "ReusedExchange" in plan
     assert len(re.findall(r"FileScan", plan)) == 1 + 1  # the rows and their histogram
 
 
 def test_incident_layer_reads_incidents_once(spark):
-    plan = optimized(entry_points.queries()["disaster_layer"](spark, SMALL))
+    plan = optimized(QUERIES["disaster_layer"](spark, SMALL))
     assert plan.count("o_orderpriority") and len(re.findall(r"Relation \[o_orderkey", plan)) == 1
 
 
