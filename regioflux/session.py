@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def with_folder(spark: SparkSession) -> SparkSession:
+    """The session, on a local master with a folder of its own in spark.checkpoint.dir where that is unset. A cluster has to name one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="regioflux-"))
+    return spark
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -9,7 +9,9 @@ from regioflux.functions.text import number_text, thousands
 from regioflux.operators import flows as fl
 from regioflux.operators import geometry as geo
 from regioflux.operators import layers
+from regioflux.operators.rings import dissolve_rings
 from regioflux.plans import hazard_risk as plan
+from regioflux.session import with_folder
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
 from regioflux.workload.risk_queries import ordinal_sql, percentile_sql, rating_sql
@@ -90,6 +92,53 @@ def geo_dissolve(spark: SparkSession, sf: str) -> DataFrame:
     return geo.dissolve(fx.parcel_vertices(spark, sf), fx.parcel_groups(spark, sf), "n_name")
 
 
+RINGS_SQL = """, sides AS (
+        SELECT CAST(c_nationkey % 2 AS BIGINT) AS side, [x, y, nx, ny] AS e, x AS x1, y AS y1, nx AS x2, ny AS y2
+        FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM parcels WINDOW w AS (PARTITION BY geo_id ORDER BY seq))
+        WHERE nx IS NOT NULL
+    ), edges AS (
+        SELECT * FROM sides a WHERE NOT EXISTS (FROM sides b WHERE b.side = a.side AND b.x1 = a.x2 AND b.y1 = a.y2 AND b.x2 = a.x1 AND b.y2 = a.y1)
+    ), followed AS (
+        SELECT a.side, a.e, arg_max(b.e, atan2((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1),
+            (a.x2 - a.x1) * (b.x2 - b.x1) + (a.y2 - a.y1) * (b.y2 - b.y1))) AS next
+        FROM edges a JOIN edges b ON a.side = b.side AND a.x2 = b.x1 AND a.y2 = b.y1 GROUP BY 1, 2
+    ), walk AS (
+        SELECT side, e AS start, e AS cur, 0 AS n FROM followed
+        UNION ALL
+        SELECT w.side, w.start, f.next, w.n + 1 FROM walk w JOIN followed f ON f.side = w.side AND f.e = w.cur WHERE f.next > w.start
+    ), closed AS (
+        SELECT w.side, w.start, max(w.n) + 1 AS n FROM walk w JOIN followed f ON f.side = w.side AND f.e = w.cur
+        GROUP BY 1, 2 HAVING bool_or(f.next = w.start)
+    ), linked AS (
+        SELECT w.side, w.start, w.cur, w.n, c.n AS size FROM walk w JOIN closed c ON c.side = w.side AND c.start = w.start
+    ), rings AS (
+        SELECT side, start, sum(cur[1] * cur[4] - cur[3] * cur[2]) AS area2 FROM linked GROUP BY 1, 2
+    ), shells AS (
+        SELECT side, start, area2, row_number() OVER (PARTITION BY side ORDER BY start) - 1 AS part FROM rings WHERE area2 > 0
+    ), around AS (
+        SELECT h.side, h.start, s.part, s.area2
+        FROM rings h JOIN shells s ON s.side = h.side JOIN linked l ON l.side = s.side AND l.start = s.start
+        WHERE h.area2 < 0 AND (l.cur[2] > (h.start[2] + h.start[4]) / 2) <> (l.cur[4] > (h.start[2] + h.start[4]) / 2)
+          AND (h.start[1] + h.start[3]) / 2 < l.cur[1] + ((h.start[2] + h.start[4]) / 2 - l.cur[2]) / (l.cur[4] - l.cur[2]) * (l.cur[3] - l.cur[1])
+        GROUP BY ALL HAVING count(*) % 2 = 1
+    ), named AS (
+        SELECT side, start, part, 0 AS ring FROM shells
+        UNION ALL
+        SELECT side, start, part, row_number() OVER (PARTITION BY side, part ORDER BY start)
+        FROM (SELECT side, start, arg_min(part, area2) AS part FROM around GROUP BY 1, 2)
+    )
+    SELECT l.side, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, CAST(unnest(CASE WHEN n = size - 1 THEN [n, size] ELSE [n] END) AS BIGINT) AS seq,
+        unnest(CASE WHEN n = size - 1 THEN [cur[1], cur[3]] ELSE [cur[1]] END) AS x, unnest(CASE WHEN n = size - 1 THEN [cur[2], cur[4]] ELSE [cur[2]] END) AS y
+    FROM linked l JOIN named m ON m.side = l.side AND m.start = l.start"""
+
+
+@query(RINGS_SQL.replace("walk AS (", "walk(side, start, cur, n) AS ("), ("parcels",), recursive=True)
+def geo_dissolve_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels of even and of odd nations dissolved into polygons with holes."""
+    nations = fx.table(with_folder(spark), sf, "customer").select(F.col("c_custkey").alias("geo_id"), (F.col("c_nationkey") % 2).cast("bigint").alias("side"))
+    return dissolve_rings(fx.parcel_vertices(spark, sf), nations, "side")
+
+
 INVALID_SQL = """SELECT geo_id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring, *
     EXCLUDE (geo_id) FROM (
         SELECT geo_id,

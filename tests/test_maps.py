@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from regioflux.operators import geometry as geo
-from regioflux.operators import groups, layers
+from regioflux.operators import groups, layers, rings
 from regioflux.plans import hazard_risk
+from regioflux.session import settled, with_folder
 from regioflux.sources import tables as sources
 
 VERTICES = "geo_id long, part int, ring int, seq int, x double, y double"
@@ -269,3 +270,67 @@ def test_centroid_on_the_sphere_does_not_depend_on_blocks(spark, monkeypatch):
     monkeypatch.setattr(geo.ring_edges, "__defaults__", (64,))
     other = geo.sphere_centroids(vertices).first()
     assert abs(one.lon - other.lon) < 1e-9 and abs(one.lat - other.lat) < 1e-9 and abs(one.lon - 5) < 1e-6
+
+
+def squares(spark, cells, side="a"):
+    """Unit squares at lower left corners, some wound clockwise, and their group."""
+    rows = []
+    for i, (x, y) in enumerate(cells):
+        corners = [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y)]
+        rows += [(i, 0, 0, s, float(a), float(b)) for s, (a, b) in enumerate(corners[:: -1 if i % 3 == 0 else 1])]
+    vertices = spark.createDataFrame(rows, "geo_id long, part int, ring int, seq int, x double, y double")
+    return vertices, spark.createDataFrame([(i, side) for i in range(len(cells))], "geo_id long, side string")
+
+
+def outlines(df):
+    """{(side, part, ring): corners in order}."""
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.side, r.part, r.ring, r.seq)):
+        out.setdefault((r.side, r.part, r.ring), []).append((r.x, r.y))
+    return out
+
+
+def area(corners):
+    return sum(a * d - c * b for (a, b), (c, d) in zip(corners, corners[1:])) / 2
+
+
+def test_dissolved_rings_have_parts_and_holes(spark):
+    with_folder(spark)
+    frame = [(x, y) for x in range(7) for y in range(7) if x in (0, 6) or y in (0, 6)]
+    inner = [(x, y) for x in range(2, 5) for y in range(2, 5) if (x, y) != (3, 3)]
+    vertices, groups = squares(spark, frame + inner + [(7, 7), (20, 0), (21, 0)])
+    found = outlines(rings.dissolve_rings(vertices, groups, "side"))
+    sizes = {k[1:]: area(v) for k, v in found.items()}
+    # The frame, the ring inside its hole, a square that touches the frame's corner, and two squares in one.
+    assert sizes == {(0, 0): 49, (0, 1): -25, (1, 0): 9, (1, 1): -1, (2, 0): 1, (3, 0): 2}
+    for corners in found.values():
+        assert corners[0] == corners[-1] == min(corners)
+        assert all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(corners, corners[1:]))
+    none = groups.where("geo_id < 0")
+    assert rings.dissolve_rings(vertices, none, "side").count() == 0
+
+
+def test_long_ring_takes_few_rounds(spark):
+    with_folder(spark)
+    n = 100_000
+    corner = F.lit(2 * math.pi / n) * (F.col("id") % n)
+    rows = spark.range(n + 1).select(
+        F.lit(1).cast("long").alias("geo_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("id").alias("seq"), F.cos(corner).alias("x"), F.sin(corner).alias("y")
+    )
+    rounds = []
+
+    def settle(df):
+        rounds.append(1)
+        return settled(df)
+
+    found = rings.dissolve_rings(rows, spark.createDataFrame([(1, "a")], "geo_id long, side string"), "side", settle)
+    one = found.agg(F.count("*"), F.max("seq"), F.count_distinct("x", "y"), F.max("ring")).first()
+    assert tuple(one) == (n + 1, n, n, 0)
+    assert len(rounds) <= 22
+
+
+def test_regions_that_touch_in_a_point_stay_apart(spark):
+    with_folder(spark)
+    vertices, groups = squares(spark, [(0, 0), (1, 1), (2, 0), (1, -1)])
+    found = outlines(rings.dissolve_rings(vertices, groups, "side"))
+    assert {k[1:]: area(v) for k, v in found.items()} == {(i, 0): 1 for i in range(4)}
