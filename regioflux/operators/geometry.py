@@ -35,8 +35,8 @@ def in_blocks(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cut.unionByName(borders.select(*RING, "head.*", F.col("before").alias("block")))
 
 
-def ring_edges(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(geo_id, part, ring, seq, x1, y1, x2, y2): each vertex with its successor."""
+def ring_edges(vertices: DataFrame, chunk: int = CHUNK, with_next: bool = False) -> DataFrame:
+    """(geo_id, part, ring, seq, x1, y1, x2, y2): each vertex with its successor, and on request the successor's seq (next)."""
     order = Window.partitionBy(*RING, "block").orderBy("seq")
     pairs = in_blocks(vertices, chunk).select(
         *RING,
@@ -47,7 +47,8 @@ def ring_edges(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.lead("y").over(order).alias("y2"),
         F.lead("seq").over(order).alias("next"),
     )
-    return pairs.where(F.col("next").isNotNull()).drop("next")
+    pairs = pairs.where(F.col("next").isNotNull())
+    return pairs if with_next else pairs.drop("next")
 
 
 def ring_moments(vertices: DataFrame) -> DataFrame:
@@ -196,8 +197,67 @@ def dissolve(vertices: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     return counted.where(F.col("uses") == 1).drop("uses")
 
 
+def _in_cells(edges: DataFrame, size: Column) -> DataFrame:
+    """Edges once for each cell (cx, cy) of a square grid that they pass through: about as many cells as an edge is sizes long.
+
+    Within each row of cells an edge covers the cells between where it enters and where it leaves; a margin makes up for rounding.
+    """
+    margin = size * 1e-6
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumns({"_size": size, "cy": F.explode(F.sequence(F.floor((low - margin) / size), F.floor((high + margin) / size)))})
+    at = lambda y: F.col("x1") + F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    size, margin = F.col("_size"), F.col("_size") * 1e-6
+    flat = F.col("y1") == F.col("y2")
+    enter = F.when(flat, F.col("x1")).otherwise(at(F.least(F.greatest(F.col("cy") * size, low), high)))
+    leave = F.when(flat, F.col("x2")).otherwise(at(F.least(F.greatest((F.col("cy") + 1) * size, low), high)))
+    # Where an edge is nearly flat the margin in y is worth a lot of x, so both neighbours of a border hold it.
+    first, last = F.floor((F.least(enter, leave) - margin) / size), F.floor((F.greatest(enter, leave) + margin) / size)
+    return rows.withColumn("cx", F.explode(F.sequence(first, last))).drop("_size")
+
+
+def _turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """1, 0 or -1: the side of a line from a to b on which c lies."""
+    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+
+
+CROWDED = 32
+FINER = 16
+
+
+def crossing_rings(vertices: DataFrame) -> DataFrame:
+    """(geo_id, part, ring) of rings that meet themselves: two edges that do not follow each other have a point in common.
+
+    Edges meet in the cells of a grid as wide as the ring's mean edge, so a ring of n edges gives about n cells with a few edges each, and
+    edges of one cell are compared only. Crowded cells are cut into FINER x FINER again. A ring that repeats a vertex in a row meets itself there. Sides are
+    told in double precision. Edges with a missing coordinate are left out.
+    """
+    edges = ring_edges(vertices, with_next=True)
+    edges = edges.where(" AND ".join(f"{c} IS NOT NULL" for c in ("x1", "y1", "x2", "y2")))
+    long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    rings = edges.groupBy(*RING).agg(F.avg(long).alias("size"), F.min("seq").alias("start"), F.max("next").alias("stop")).where("size > 0")
+    cells = _in_cells(edges.join(rings, list(RING)), F.col("size"))
+    counts = cells.groupBy(*RING, "cx", "cy").agg(F.count("*").alias("held"))
+    cells = cells.join(counts, [*RING, "cx", "cy"]).where("held > 1")
+    crowd = cells.where(F.col("held") > CROWDED).drop("cx", "cy").dropDuplicates([*RING, "seq"])
+    fine = _in_cells(crowd, F.col("size") / FINER).withColumn("level", F.lit(1))
+    cells = cells.where(F.col("held") <= CROWDED).withColumn("level", F.lit(0)).unionByName(fine)
+    ends = ("seq", "next", "x1", "y1", "x2", "y2")
+    here = cells.select(*RING, "level", "cx", "cy", *ends, "start", "stop")
+    other = cells.select(*RING, "level", "cx", "cy", *(F.col(c).alias(f"o{c}") for c in ends))
+    a, b = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
+    c, d = (F.col("ox1"), F.col("oy1")), (F.col("ox2"), F.col("oy2"))
+    meets = (_turn(*a, *b, *c) * _turn(*a, *b, *d) <= 0) & (_turn(*c, *d, *a) * _turn(*c, *d, *b) <= 0)
+    for p1, p2, q1, q2 in (("x1", "x2", "ox1", "ox2"), ("y1", "y2", "oy1", "oy2")):
+        meets = meets & (F.least(p1, p2) <= F.greatest(q1, q2)) & (F.least(q1, q2) <= F.greatest(p1, p2))
+    follows = (F.col("next") == F.col("oseq")) | ((F.col("seq") == F.col("start")) & (F.col("onext") == F.col("stop")))
+    # A closed ring's last edge is followed by its first; of an open ring the two may meet like any others.
+    follows = (F.col("next") == F.col("oseq")) | (follows & (F.col("x1") == F.col("ox2")) & (F.col("y1") == F.col("oy2")))
+    pairs = here.join(other, [*RING, "level", "cx", "cy"]).where((F.col("seq") < F.col("oseq")) & ~follows & meets)
+    return pairs.select(*RING).distinct()
+
+
 def invalid_rings(vertices: DataFrame) -> DataFrame:
-    """Rings with a defect, one flag per kind. Self-intersection is not tested."""
+    """Rings with a defect, one flag per kind. `crossing_rings` tells which rings meet themselves."""
     # Equal points of a ring are folded first, so that no task holds all vertices of a long ring.
     points = vertices.groupBy(*RING, "x", "y").agg(
         F.count("*").alias("uses"), F.min("seq").alias("first"), F.max("seq").alias("last")

@@ -420,6 +420,18 @@ def damaged_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def twisted_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels of eight corners: notched squares, some with two corners swapped, a notch that reaches the other side, or one pulled beyond it."""
+    key = F.col("geo_id")
+    depth = F.when(key % 13 == 4, 1.0).when(key % 17 == 6, 1.5).otherwise(0.5)
+    notch = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.75, 1.0), (0.5, None), (0.25, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    swap = (key % 23 == 7) & F.col("seq").isin(1, 2)
+    corners = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(x).alias("dx"), (F.lit(y) if y is not None else 1 - depth).alias("dy")) for i, (x, y) in enumerate(notch)))
+    base = parcel_vertices(spark, sf_dir).where("seq = 0").select("geo_id", "part", "ring", "x", "y", F.inline(corners))
+    placed = base.select("geo_id", "part", "ring", F.when(swap, 3 - F.col("seq")).otherwise(F.col("seq")).alias("seq"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    return placed
+
+
 def state_points(spark: SparkSession, sf_dir: str, dropped: tuple[str, ...] = ()) -> DataFrame:
     """(NAME, lon, lat) of nation centroids, some removed on request."""
     regions = nation_names(spark, sf_dir, "geo_id", "NAME")

@@ -177,6 +177,28 @@ def geo_invalid_count(spark: SparkSession, sf: str) -> DataFrame:
     return geo.invalid_count(fx.damaged_parcels(spark, sf))
 
 
+@query(
+    """, twisted AS (
+        SELECT geo_id, CASE WHEN geo_id % 23 = 7 AND i IN (1, 2) THEN 3 - i ELSE i END AS seq,
+            x + [0, 1, 1, 0.75, 0.5, 0.25, 0, 0][i + 1]::DOUBLE AS x,
+            y + [0, 0, 1, 1, 1 - CASE WHEN geo_id % 13 = 4 THEN 1 WHEN geo_id % 17 = 6 THEN 1.5 ELSE 0.5 END, 1, 1, 0][i + 1]::DOUBLE AS y
+        FROM parcels, (SELECT unnest(range(8)) AS i) WHERE seq = 0
+    ), edges AS (
+        SELECT * FROM (SELECT geo_id, seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM twisted WINDOW w AS (PARTITION BY geo_id ORDER BY seq))
+        WHERE x2 IS NOT NULL
+    )
+    SELECT DISTINCT a.geo_id, 0 AS part, 0 AS ring FROM edges a JOIN edges b ON a.geo_id = b.geo_id AND a.seq + 1 < b.seq AND NOT (a.seq = 0 AND b.seq = 6)
+    WHERE sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) <= 0
+      AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) <= 0
+      AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
+      AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)""",
+    ("parcels",),
+)
+def geo_self_intersections(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels whose outline crosses or touches itself."""
+    return geo.crossing_rings(fx.twisted_parcels(spark, sf))
+
+
 def _rated(spark: SparkSession, sf: str) -> DataFrame:
     table = fx.indicators(spark, sf).select("Name", "Storms")
     return plan.rated(table, "Storms", "Storms_percentile", "Storms_rating")

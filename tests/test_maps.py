@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -334,3 +335,54 @@ def test_regions_that_touch_in_a_point_stay_apart(spark):
     vertices, groups = squares(spark, [(0, 0), (1, 1), (2, 0), (1, -1)])
     found = outlines(rings.dissolve_rings(vertices, groups, "side"))
     assert {k[1:]: area(v) for k, v in found.items()} == {(i, 0): 1 for i in range(4)}
+
+
+def crosses(corners):
+    """Whether any two edges that do not follow each other have a point in common, all pairs compared."""
+    edges = list(zip(corners, corners[1:]))
+
+    def turn(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    for i, (a, b) in enumerate(edges):
+        for j in range(i + 2, len(edges)):
+            c, d = edges[j]
+            if i == 0 and j == len(edges) - 1:
+                continue
+            boxes = all(min(a[k], b[k]) <= max(c[k], d[k]) and min(c[k], d[k]) <= max(a[k], b[k]) for k in (0, 1))
+            if boxes and turn(a, b, c) * turn(a, b, d) <= 0 and turn(c, d, a) * turn(c, d, b) <= 0:
+                return True
+    return False
+
+
+def test_self_intersection_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    shapes = {}
+    for g in range(60):
+        n = rng.choice([4, 6, 9, 40])
+        if g % 2:
+            corners = [(rng.randrange(30), rng.randrange(30)) for _ in range(n)]
+        else:  # a star around a point, now and then with two corners swapped
+            corners = [(round(rng.uniform(1, 30) * math.cos(2 * math.pi * t / n), 3), round(rng.uniform(1, 30) * math.sin(2 * math.pi * t / n), 3)) for t in range(n)]
+        if all(corners[i] != corners[i - 1] for i in range(n)):
+            shapes[g, 0] = corners
+    vertices = degrees_ring(spark, shapes)
+    wanted = sorted((g,) for (g, _), corners in shapes.items() if crosses([*corners, corners[0]]))
+    assert 10 < len(wanted) < len(shapes) - 5
+    assert rows(geo.crossing_rings(vertices).select("geo_id")) == wanted
+    monkeypatch.setattr(geo, "CROWDED", 2)
+    assert rows(geo.crossing_rings(vertices).select("geo_id")) == wanted
+    monkeypatch.setattr(geo.ring_edges, "__defaults__", (3, False))
+    assert rows(geo.crossing_rings(vertices).select("geo_id")) == wanted
+    assert geo.crossing_rings(vertices.limit(0)).count() == 0
+
+
+def test_long_rings_meet_in_cells_only(spark):
+    n = 60_000
+    angle = F.lit(2 * math.pi / n) * (F.col("id") % n)
+    ring = spark.range(n + 1).select(
+        F.lit(1).cast("long").alias("geo_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("id").alias("seq"), F.cos(angle).alias("x"), F.sin(angle).alias("y")
+    )
+    assert geo.crossing_rings(ring).count() == 0
+    pulled = ring.withColumn("x", F.when(F.col("seq") == 1000, -2.0).otherwise(F.col("x")))
+    assert geo.crossing_rings(pulled).count() == 1
