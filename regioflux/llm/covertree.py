@@ -10,13 +10,15 @@ Equal vectors are one vector with copies. Block pairs give sums of links and a f
 themselves, so a dense group costs comparisons but no rows. Where vectors are spread evenly in many dimensions no radius separates
 blocks, and all block pairs are compared.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with
-nothing and are their own component; repeated rows count as vectors each; an empty table gives no rows.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own component;
+vectors link with those of their own length only, one length after the other; components of any finite size count; repeated rows count as vectors
+each; an empty table gives no rows; of other columns none is kept.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -179,17 +181,20 @@ def groups(table: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: s
     rows = rows.withColumn("_right", F.coalesce(right, F.lit(False)))
     rows = rows.withColumn("_print", F.when(F.col("_right"), F.struct(F.xxhash64("_v").alias("a"), F.xxhash64("_v", F.lit(1)).alias("b"))))
     known = rows.filter("_right").groupBy("_print").agg(F.min(key).alias("node"), F.count("*").alias("copies"), F.min("_v").alias("v"))
-    size = known.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    known = written(known.select("_print", "node", "copies", _binary("v").alias("x")), "vectors")
-    longest = size.first()
-    bytes_each = 8 * longest[0] if longest else 0
-    usable = known.filter(F.length("x") == bytes_each)
-    found = written(_links(usable, cosine), "vector-links")
+    # Squares of very large or small components would leave the range of doubles; powers of two change no digit.
+    most = F.array_max(F.transform("v", F.abs))
+    factor = F.when(most > 2.0**400, 2.0**-600).when(most < 2.0**-400, 2.0**600).otherwise(1.0)
+    known = known.withColumn("v", F.transform("v", lambda c: c * factor)).select("_print", "node", "copies", _binary("v").alias("x"))
+    known = written(known, "vectors")
+    # Vectors of each length are compared among themselves.
+    sizes = [n for (n,) in known.select(F.length("x")).distinct().collect()]
+    links = [_links(known.filter(F.length("x") == n), cosine) for n in sorted(sizes)]
+    none = known.sparkSession.createDataFrame([], "node long, links long, root long")
+    found = written(reduce(DataFrame.union, links, none), "vector-links")
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    alone = F.when(F.length("x") == bytes_each, F.col("copies") - 1).otherwise(0)
     by_print = known.join(counts, "node", "left").join(joined, "node", "left").select(
-        "_print", (F.coalesce("links", F.lit(0)) + alone).alias("_links"), F.when(F.length("x") == bytes_each, F.coalesce("component", "node")).alias("_component")
+        "_print", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_component")
     )
     out = rows.select(key, "_print").join(by_print, "_print", "left")
     component = F.coalesce("_component", key)

@@ -260,6 +260,19 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert covertree.groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_any_length_and_size(spark):
+    rows = [
+        (1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [2.0, -1.0]), (4, [1e-200] * 8), (5, [2e-200] * 8), (6, [3e200] * 8), (7, [1.7e308, 1.7e308]), (8, [1e308, 1e308]),
+        (9, [1.0]), (10, [-1.0]), (11, [5e-324, 0.0, 0.0]), (12, [1.0, 0.0, 0.0]), (12, [1.0, 0.0, 0.0]), (13, [1e-300, 1.0, 0.0]),
+    ]
+    table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, node int, component string")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in covertree.groups(table, 0.9).collect())
+    # 1 and 2 are 0.949 from (1, 1).
+    assert found == [
+        (1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 3, 1), (8, 3, 1), (9, 0, 9), (10, 0, 10), (11, 2, 11), (12, 2, 11), (12, 2, 11), (13, 0, 13)
+    ]
+
+
 # 6 HTML
 
 
