@@ -268,7 +268,7 @@ def test_centroid_on_the_sphere_does_not_depend_on_blocks(spark, monkeypatch):
     ring = [(math.cos(t / 500 * math.pi) * 20 + 5, math.sin(t / 500 * math.pi) * 10) for t in range(1000)]
     vertices = degrees_ring(spark, {(1, 0): ring})
     one = geo.sphere_centroids(vertices).first()
-    monkeypatch.setattr(geo.ring_edges, "__defaults__", (64,))
+    monkeypatch.setattr(geo.ring_edges, "__defaults__", (64, False))
     other = geo.sphere_centroids(vertices).first()
     assert abs(one.lon - other.lon) < 1e-9 and abs(one.lat - other.lat) < 1e-9 and abs(one.lon - 5) < 1e-6
 
