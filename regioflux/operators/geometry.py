@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regioflux.functions.exact import turn
+
 RING = ("geo_id", "part", "ring")
 CHUNK = 4096
 
@@ -197,7 +199,7 @@ def dissolve(vertices: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     return counted.where(F.col("uses") == 1).drop("uses")
 
 
-def _in_cells(edges: DataFrame, size: Column) -> DataFrame:
+def in_cells(edges: DataFrame, size: Column) -> DataFrame:
     """Edges once for each cell (cx, cy) of a square grid that they pass through: about as many cells as an edge is sizes long.
 
     Within each row of cells an edge covers the cells between where it enters and where it leaves; a margin makes up for rounding.
@@ -215,11 +217,6 @@ def _in_cells(edges: DataFrame, size: Column) -> DataFrame:
     return rows.withColumn("cx", F.explode(F.sequence(first, last))).drop("_size")
 
 
-def _turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    """1, 0 or -1: the side of a line from a to b on which c lies."""
-    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
-
-
 CROWDED = 32
 FINER = 16
 
@@ -229,24 +226,24 @@ def crossing_rings(vertices: DataFrame) -> DataFrame:
 
     Edges meet in the cells of a grid as wide as the ring's mean edge, so a ring of n edges gives about n cells with a few edges each, and
     edges of one cell are compared only. Crowded cells are cut into FINER x FINER again. A ring that repeats a vertex in a row meets itself there. Sides are
-    told in double precision. Edges with a missing coordinate are left out.
+    told without rounding. Edges with a missing coordinate are left out.
     """
     edges = ring_edges(vertices, with_next=True)
     edges = edges.where(" AND ".join(f"{c} IS NOT NULL" for c in ("x1", "y1", "x2", "y2")))
     long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     rings = edges.groupBy(*RING).agg(F.avg(long).alias("size"), F.min("seq").alias("start"), F.max("next").alias("stop")).where("size > 0")
-    cells = _in_cells(edges.join(rings, list(RING)), F.col("size"))
+    cells = in_cells(edges.join(rings, list(RING)), F.col("size"))
     counts = cells.groupBy(*RING, "cx", "cy").agg(F.count("*").alias("held"))
     cells = cells.join(counts, [*RING, "cx", "cy"]).where("held > 1")
     crowd = cells.where(F.col("held") > CROWDED).drop("cx", "cy").dropDuplicates([*RING, "seq"])
-    fine = _in_cells(crowd, F.col("size") / FINER).withColumn("level", F.lit(1))
+    fine = in_cells(crowd, F.col("size") / FINER).withColumn("level", F.lit(1))
     cells = cells.where(F.col("held") <= CROWDED).withColumn("level", F.lit(0)).unionByName(fine)
     ends = ("seq", "next", "x1", "y1", "x2", "y2")
     here = cells.select(*RING, "level", "cx", "cy", *ends, "start", "stop")
     other = cells.select(*RING, "level", "cx", "cy", *(F.col(c).alias(f"o{c}") for c in ends))
     a, b = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
     c, d = (F.col("ox1"), F.col("oy1")), (F.col("ox2"), F.col("oy2"))
-    meets = (_turn(*a, *b, *c) * _turn(*a, *b, *d) <= 0) & (_turn(*c, *d, *a) * _turn(*c, *d, *b) <= 0)
+    meets = (turn(*a, *b, *c) * turn(*a, *b, *d) <= 0) & (turn(*c, *d, *a) * turn(*c, *d, *b) <= 0)
     for p1, p2, q1, q2 in (("x1", "x2", "ox1", "ox2"), ("y1", "y2", "oy1", "oy2")):
         meets = meets & (F.least(p1, p2) <= F.greatest(q1, q2)) & (F.least(q1, q2) <= F.greatest(p1, p2))
     follows = (F.col("next") == F.col("oseq")) | ((F.col("seq") == F.col("start")) & (F.col("onext") == F.col("stop")))

@@ -432,6 +432,12 @@ def twisted_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed
 
 
+def staggered_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels in rows laid like bricks, turned and sheared: corners of one row lie inside the edges of the next."""
+    x = F.col("x") + (F.floor(F.col("geo_id") / 100) % 2) * 0.5
+    return parcel_vertices(spark, sf_dir).withColumns({"x": x * 3 + F.col("y"), "y": F.col("y") * 5 - x})
+
+
 def state_points(spark: SparkSession, sf_dir: str, dropped: tuple[str, ...] = ()) -> DataFrame:
     """(NAME, lon, lat) of nation centroids, some removed on request."""
     regions = nation_names(spark, sf_dir, "geo_id", "NAME")

@@ -9,6 +9,7 @@ from regioflux.functions.text import number_text, thousands
 from regioflux.operators import flows as fl
 from regioflux.operators import geometry as geo
 from regioflux.operators import layers
+from regioflux.operators.noding import noded
 from regioflux.operators.rings import dissolve_rings
 from regioflux.plans import hazard_risk as plan
 from regioflux.session import with_folder
@@ -139,6 +140,47 @@ def geo_dissolve_rings(spark: SparkSession, sf: str) -> DataFrame:
     return dissolve_rings(fx.parcel_vertices(spark, sf), nations, "side")
 
 
+# Sides of bricks cut at the corners on them. Half of all numbers are whole, the others end in .5, so no product rounds.
+NODED_SQL = """, bricks AS (
+        SELECT geo_id, seq, c_nationkey, 3 * bx + y AS x, 5 * y - bx AS y
+        FROM (SELECT *, x + 0.5::DOUBLE * (geo_id // 100 % 2) AS bx FROM parcels)
+    ), sides AS (
+        SELECT * FROM (SELECT geo_id, seq, c_nationkey, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM bricks
+            WINDOW w AS (PARTITION BY geo_id ORDER BY seq)) WHERE nx IS NOT NULL
+    ), corners AS (SELECT DISTINCT x AS px, y AS py FROM bricks
+    ), cuts AS (
+        SELECT geo_id, seq, px, py, (px - x) * (nx - x) + (py - y) * (ny - y) AS along FROM sides JOIN corners
+            ON px >= least(x, nx) AND px <= greatest(x, nx) AND py >= least(y, ny) AND py <= greatest(y, ny)
+        WHERE (nx - x) * (py - y) = (ny - y) * (px - x) AND (px, py) <> (x, y) AND (px, py) <> (nx, ny)
+    ), noded AS (
+        SELECT geo_id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring,
+            CAST(row_number() OVER (PARTITION BY geo_id ORDER BY seq, along) - 1 AS INTEGER) AS seq, x, y
+        FROM (SELECT geo_id, seq, 0 AS along, x, y FROM bricks UNION ALL SELECT geo_id, seq, along, px, py FROM cuts)
+    )
+    """
+
+
+@query(NODED_SQL + "SELECT * FROM noded", ("parcels",))
+def geo_noded(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels laid like bricks, each with its neighbours' corners on its edges."""
+    return noded(fx.staggered_parcels(spark, sf))
+
+
+@query(
+    NODED_SQL
+    + """SELECT n_name, x1, y1, x2, y2 FROM (
+        SELECT n_name, least((x, y), (nx, ny)) AS a, greatest((x, y), (nx, ny)) AS b,
+            a[1] AS x1, a[2] AS y1, b[1] AS x2, b[2] AS y2
+        FROM (SELECT geo_id, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM noded WINDOW w AS (PARTITION BY geo_id ORDER BY seq))
+        JOIN customer ON c_custkey = geo_id JOIN nation ON c_nationkey = n_nationkey WHERE nx IS NOT NULL)
+    GROUP BY n_name, x1, y1, x2, y2 HAVING count(*) = 1""",
+    ("parcels",),
+)
+def geo_dissolve_noded(spark: SparkSession, sf: str) -> DataFrame:
+    """Bricks dissolved by nation: cut at their neighbours' corners they leave no stray edges."""
+    return geo.dissolve(noded(fx.staggered_parcels(spark, sf)), fx.parcel_groups(spark, sf), "n_name")
+
+
 INVALID_SQL = """SELECT geo_id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring, *
     EXCLUDE (geo_id) FROM (
         SELECT geo_id,
