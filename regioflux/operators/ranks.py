@@ -8,6 +8,7 @@ below each value. The cuts steer only the balance of the bins, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,13 +17,22 @@ from pyspark.sql import types as T
 
 from regioflux.functions.missing import drop_nan
 
-MAX_BINS = 512
+#: Cuts found in one pass. More bins than this are cut in several levels.
+WIDEST = 512
 
 
 def _bins(df: DataFrame) -> int:
     # A few bins per task even out what hashing the bins to tasks leaves uneven.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(4 * parts, MAX_BINS)
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _levels(bins: int) -> list[int]:
+    """Bins of each level: as few levels as hold the given number, all of about the same width."""
+    depth = 1
+    while WIDEST**depth < bins:
+        depth += 1
+    width = math.ceil(round(bins ** (1 / depth), 9))
+    return [width] * depth
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -53,30 +63,48 @@ def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted if len(columns) > 1 else counted.withColumn("field", F.lit(columns[0]))
 
 
-def cumulate(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(field, value, copies, below, total) from a histogram; missing values are left out."""
+def _place(cuts: Column) -> Column:
+    """The number of cuts below the value, which grows with it; cuts may repeat."""
+    # A number that cannot be null spares later joins a null filter, which would sink under the
+    # histogram and evaluate the cuts once per row instead of once per value.
+    return F.coalesce(F.array_position(F.sort_array(F.array_append(cuts, F.col("value"))), F.col("value")) - 1, F.lit(0))
+
+
+def binned(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The histogram's values that are not missing with their bin: ordered bins of about equally many values, a few for each shuffle partition.
+
+    The first level's cuts come from the quantiles of each column, those of a further level from the quantiles inside each bin of the level
+    before, so that no aggregate holds more than WIDEST cuts, however many partitions there are.
+    """
     hist = hist.where(F.col("value").isNotNull())
-    bins, keys = _bins(hist), _keys(columns)
-    steps = [i / bins for i in range(1, bins)]
+    keys = _keys(columns)
+    first, *further = _levels(_bins(hist))
+    quantiles = lambda value, width: F.percentile_approx(value, [i / width for i in range(1, width)], max(1000, 4 * width))
 
     def cuts(name: str) -> Column:
         # The test on copies is always true. It keeps the column, so that this subquery and the
         # ranking below share one shuffle of the histogram.
-        seen = F.when((F.col("field") == name) & (F.col("copies") > 0), F.col("value"))
-        return F.percentile_approx(seen, steps, max(1000, 4 * bins))
+        return quantiles(F.when((F.col("field") == name) & (F.col("copies") > 0), F.col("value")), first)
 
     entries = [part for name in columns for part in (F.lit(name), cuts(name))]
     by_field = hist.agg(F.create_map(*entries).alias("cuts")).scalar()
-    lower_cuts = F.array_position(
-        F.sort_array(F.array_append(by_field[F.col("field")], F.col("value"))), F.col("value")
-    )
-    # A bin that cannot be null spares the joins below a null filter, which would sink under the
-    # histogram and evaluate the cuts once per row instead of once per value.
-    binned = hist.withColumn("bin", F.coalesce(lower_cuts - 1, F.lit(0))).repartition(*keys, "bin")
+    placed = hist.withColumn("bin", _place(by_field[F.col("field")]))
+    for width in further:
+        inner = placed.groupBy(*keys, "bin").agg(quantiles(F.col("value"), width).alias("cuts"))
+        # As many cuts as there are bins on this level, a few for each shuffle partition and ranked column.
+        placed = placed.join(F.broadcast(inner), [*keys, "bin"])
+        placed = placed.withColumn("bin", F.col("bin") * width + _place(F.col("cuts"))).drop("cuts")
+    return placed
+
+
+def cumulate(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(field, value, copies, below, total) from a histogram; missing values are left out."""
+    keys = _keys(columns)
+    placed = binned(hist, columns).repartition(*keys, "bin")
 
     ordered = Window.partitionBy(*keys).orderBy("bin")
     offsets = (
-        binned.groupBy(*keys, "bin")
+        placed.groupBy(*keys, "bin")
         .agg(F.sum("copies").alias("held"), F.max("value").alias("last"))
         # Always true. It keeps the value, so that the totals and the running sums share the shuffle.
         .where(F.col("last").isNotNull())
@@ -90,8 +118,8 @@ def cumulate(hist: DataFrame, columns: Sequence[str]) -> DataFrame:
     inside = Window.partitionBy(*keys, "bin").orderBy("value")
     running = F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        binned.withColumn("running", running)
-        # One row per bin and field, so never more than MAX_BINS rows per ranked column.
+        placed.withColumn("running", running)
+        # One row per bin and field: a few per shuffle partition and ranked column.
         .join(F.broadcast(offsets), [*keys, "bin"])
         .select(
             "field",

@@ -92,3 +92,45 @@ def test_repeated_key_is_an_error(spark):
     df = spark.createDataFrame([("k", 1), ("k", 5), ("m", 3)], "key string, x int")
     with pytest.raises(Exception, match="repeated key: k"):
         ranks.add_percent_ranks(df, "key", ["x"]).collect()
+
+
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_levels_hold_the_bins():
+    assert ranks._levels(32) == [32] and ranks._levels(512) == [512]
+    assert ranks._levels(513) == [23, 23] and ranks._levels(512**2) == [512, 512]
+    for bins in (4, 600, 40_000, 300_000, 10**7):
+        levels = ranks._levels(bins)
+        assert max(levels) <= ranks.WIDEST and levels[0] ** len(levels) >= bins
+
+
+def test_bins_of_several_levels_are_even_and_ordered(many_partitions, monkeypatch):
+    """A million values bunched at one end: no bin holds more than a few times the mean, whatever the number of levels."""
+    n = 1_000_000
+    skewed = many_partitions.range(n).select(F.exp(F.col("id") / 1e5).alias("x"))
+    hist = ranks.histogram(skewed, ["x"])
+    for widest, fewest in ((512, 500), (32, 500), (8, 450)):
+        monkeypatch.setattr(ranks, "WIDEST", widest)
+        found = ranks.binned(hist, ["x"]).groupBy("bin").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        held = found.orderBy("bin").collect()
+        assert len(held) >= fewest and sum(r.n for r in held) == n
+        assert max(r.n for r in held) < 3 * n / len(held)
+        assert all(a.high < b.low for a, b in zip(held, held[1:]))
+
+
+@pytest.mark.parametrize("widest", [2, 6])
+def test_ranks_do_not_depend_on_levels(spark, monkeypatch, widest):
+    monkeypatch.setattr(ranks, "WIDEST", widest)
+    rng = random.Random(widest)
+    data = [(f"r{i}", rng.choice([None, 7.0, 7.0, rng.gauss(0, 1e6)]), rng.choice([None, float(rng.randint(0, 5))])) for i in range(300)]
+    df = spark.createDataFrame(data, "i string, a double, b double")
+    found = ranks.add_percent_ranks(df, "i", ["a", "b"])
+    for c in ("a", "b"):
+        assert rows(found, "i", f"{c}_percentile") == rows(builtin(df, c), "i", "p")
+        assert rows(ranks.add_percent_rank(df, c, "p"), "i", "p") == rows(builtin(df, c), "i", "p")
