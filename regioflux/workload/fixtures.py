@@ -271,6 +271,27 @@ def disasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORDER_FIELDS = ("order_key", "clerk_code", "status", "price", "placed", "open", "note")
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line): orders as CSV records without a header; some have a field too many or too few."""
+    key = F.col("o_orderkey")
+    fields = (
+        key,
+        F.lpad((key % 1000).cast("string"), 5, "0"),
+        F.when(key % 7 != 0, F.col("o_orderstatus")),
+        F.when(key % 5 == 0, F.floor("o_totalprice").cast("string")).otherwise(F.col("o_totalprice").cast("string")),
+        F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.when(key % 11 != 0, F.col("o_orderstatus") == "O"),
+        F.concat(F.lit('said "'), F.col("o_orderpriority"), F.lit('", twice')),
+    )
+    record = F.struct(*(f.alias(name) for f, name in zip(fields, ORDER_FIELDS)))
+    line = F.to_csv(record, {"nullValue": "NA", "escape": '"'})
+    shaped = F.when(key % 97 == 0, F.concat(line, F.lit(",surplus"))).when(key % 89 == 0, F.concat(key.cast("string"), F.lit(",00000"))).otherwise(line)
+    return table(spark, sf_dir, "orders").select(shaped.alias("line"))
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(geo_id, STUSPS): one per nation."""
     return nation_names(spark, sf_dir, "geo_id", "STUSPS")

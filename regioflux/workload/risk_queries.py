@@ -11,6 +11,8 @@ from regioflux.operators import groups, profile
 from regioflux.operators.ranks import add_percent_rank
 from regioflux.operators.tables import points_from_text
 from regioflux.plans import hazard_risk as plan
+from regioflux.session import new_path, with_folder
+from regioflux.sources.typed_csv import TypedCsv, read_typed_csv
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
 
@@ -317,3 +319,31 @@ def split_latlon(spark: SparkSession, sf: str) -> DataFrame:
     return points_from_text(fx.indicators(spark, sf))
 
 
+def _typed_orders(spark: SparkSession, sf: str) -> TypedCsv:
+    """The orders written as CSV files in the shared folder and scanned."""
+    path = new_path(with_folder(spark), "orders-csv")
+    fx.order_lines(spark, sf).write.text(path)
+    return read_typed_csv(spark, path, fx.ORDER_FIELDS)
+
+
+@query(
+    """SELECT o_orderkey AS order_key, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 5, '0') AS clerk_code,
+        CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status,
+        CASE WHEN o_orderkey % 5 = 0 THEN floor(o_totalprice) ELSE o_totalprice END AS price,
+        strftime(o_orderdate, '%Y-%m-%d') AS placed, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus = 'O' END AS open,
+        'said "' || o_orderpriority || '", twice' AS note
+    FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0"""
+)
+def csv_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders from CSV files with the types told from the data; the day is shown as text."""
+    return _typed_orders(spark, sf).rows.withColumn("placed", F.date_format("placed", "yyyy-MM-dd"))
+
+
+@query(
+    """SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'surplus' ELSE 'short' END AS kind, count(*) AS n
+    FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 GROUP BY 1"""
+)
+def csv_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    """Malformed records of the orders' CSV files by kind."""
+    kind = F.when(F.endswith("line", F.lit(",surplus")), "surplus").otherwise("short")
+    return _typed_orders(spark, sf).malformed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
