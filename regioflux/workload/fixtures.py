@@ -369,6 +369,18 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def social_indicators(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Name and whole-number indicators per nation: (economy, society), the first without nation 9."""
+    customers = table(spark, sf_dir, "customer").join(nation_names(spark, sf_dir, "c_nationkey", "Name"), "c_nationkey")
+    sums = customers.groupBy("Name").agg(
+        F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("Economic_Productivity_Losses"),
+        F.count_if(F.col("c_custkey") % 3 == 0).alias("Housing_Type_Transportation"),
+        F.nullif(F.count_if(F.col("c_acctbal") < 0) % 7, F.lit(0)).cast("bigint").alias("Socioeconomic_Stressors"),
+    )
+    economy = sums.where("Name <> 'NATION_9'").select("Name", "Economic_Productivity_Losses")
+    return economy, sums.select("Name", "Housing_Type_Transportation", "Socioeconomic_Stressors")
+
+
 def risk_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One county per part, with missing scores, missing populations and an unknown rating text."""
     key = F.col("p_partkey")

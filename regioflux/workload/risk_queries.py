@@ -347,3 +347,76 @@ def csv_malformed(spark: SparkSession, sf: str) -> DataFrame:
     """Malformed records of the orders' CSV files by kind."""
     kind = F.when(F.endswith("line", F.lit(",surplus")), "surplus").otherwise("short")
     return _typed_orders(spark, sf).malformed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _hazard_sql() -> str:
+    """The eleven maps' columns by region, each rank among the regions that have the value."""
+    ranks = "".join(
+        f''', CASE WHEN "{m.column}" IS NOT NULL THEN percent_rank() OVER (PARTITION BY "{m.column}" IS NULL ORDER BY "{m.column}") * 100 END
+            AS {m.percentile}'''
+        for m in plan.MAPS
+        if m.percentile
+    )
+    ratings = "".join(f", {rating_sql(m.percentile) if m.percentile else RANKING_SQL} AS \"{m.rating}\"" for m in plan.MAPS)
+    return f""", social AS (
+        SELECT c_nationkey, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS losses, count(*) FILTER (c_custkey % 3 = 0) AS housing,
+            nullif(count(*) FILTER (c_acctbal < 0) % 7, 0) AS stressors
+        FROM customer GROUP BY 1
+    ), scores AS (
+        SELECT n_name AS region, CASE WHEN listed THEN CAST(n_nationkey AS INTEGER) END AS geo_id, CASE WHEN listed THEN "CVI" END AS "CVI",
+            CASE WHEN listed THEN "TotalDisasters" END AS "TotalDisasters", state_risk_score,
+            CASE WHEN n_nationkey <> 9 THEN losses END AS "Economic_Productivity_Losses", housing AS "Housing_Type_Transportation",
+            stressors AS "Socioeconomic_Stressors", "Temperature", "Droughts", "Storms", "Wildfires", "Flooding",
+            listed AS on_cvi, listed AS on_disasters, r."STATEABBRV" IS NOT NULL AS on_risk,
+            n_nationkey <> 9 AND social.c_nationkey IS NOT NULL AS on_economy, social.c_nationkey IS NOT NULL AS on_society, true AS on_events
+        FROM (SELECT *, n_name NOT IN ('NATION_1', 'NATION_24') AS listed FROM nation)
+        LEFT JOIN ({CVI_SQL}) c ON c."STUSPS" = n_name LEFT JOIN ({TOTALS_SQL}) t ON t."STUSPS" = n_name
+        LEFT JOIN ({RISK_SQL}) r ON r."STATEABBRV" = n_name LEFT JOIN social ON social.c_nationkey = n_nationkey
+        LEFT JOIN indicators i ON i."Name" = n_name
+    ), ratings AS (SELECT *{ratings} FROM (SELECT *{ranks} FROM scores))
+    """
+
+
+HAZARD_FIXTURES = ("disasters", "tract_scores", "risk_counties", "indicators")
+LAYERS_SQL = ", layers AS (" + " UNION ALL ".join(
+    f'''SELECT '{m.name}' AS map, region, geo_id, CAST("{m.column}" AS DOUBLE) AS value, "{m.rating}" AS class,
+        {ordinal_sql(f'"{m.rating}"')} AS class_index,
+        'Name: ' || region || '<br>{m.popup}' || coalesce("{m.rating}", 'NA')'''
+    + (""" || '<br>Total Disasters Since 2010: ' || coalesce(CAST(CAST("TotalDisasters" AS BIGINT) AS VARCHAR), 'NA')""" if m.name == "disasters" else "")
+    + f" AS popup FROM ratings WHERE on_{m.source}"
+    for m in plan.MAPS
+) + ")\n"
+
+
+def _hazards(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    economy, society = fx.social_indicators(with_folder(spark), sf)
+    inputs = plan.Hazards(
+        fx.states(spark, sf), economy, society, fx.indicators(spark, sf).drop("Source"), fx.tract_scores(spark, sf), fx.disasters(spark, sf), fx.risk_counties(spark, sf)
+    )
+    return plan.analyse(inputs, ("NATION_1", "NATION_24"), DROPPED, SINCE, CUTS)
+
+
+@query(_hazard_sql() + "SELECT * FROM ratings", HAZARD_FIXTURES)
+def hazard_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten percentile ratings and the disaster rating of every region."""
+    return _hazards(spark, sf)["ratings"]
+
+
+@query(_hazard_sql() + LAYERS_SQL + "SELECT * FROM layers", HAZARD_FIXTURES)
+def hazard_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions of all eleven maps with class and popup."""
+    return _hazards(spark, sf)["layers"]
+
+
+@query(
+    _hazard_sql()
+    + LAYERS_SQL
+    + "SELECT m AS map, title, CAST(position AS INTEGER) AS position, l.level, count(region) AS regions FROM (VALUES "
+    + ", ".join(f"('{m.name}', '{m.title}')" for m in plan.MAPS)
+    + """) AS maps(m, title), (VALUES (1, 'Very Low'), (2, 'Low'), (3, 'Moderate'), (4, 'High'), (5, 'Very High')) AS l(position, level)
+    LEFT JOIN layers ON map = m AND class = l.level GROUP BY m, title, position, l.level""",
+    HAZARD_FIXTURES,
+)
+def hazard_legends(spark: SparkSession, sf: str) -> DataFrame:
+    """The legends of all eleven maps with the number of regions of each class."""
+    return _hazards(spark, sf)["legends"]
