@@ -93,10 +93,13 @@ def _ordered(entries: Column, item: str) -> Column:
     return F.transform(F.array_sort(entries), lambda entry: entry[item])
 
 
-def features(regions: DataFrame, vertices: DataFrame, key: str, properties: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def features(
+    regions: DataFrame, vertices: DataFrame, key: str, properties: Sequence[str], chunk: int = CHUNK, keep: Sequence[str] = ()
+) -> DataFrame:
     """GeoJSON features as one text column: one MultiPolygon for each region, however large its outline is.
 
-    Rings are put in order block by block. outline_pieces writes an outline in parts of bounded length.
+    Rings are put in order block by block. outline_pieces writes an outline in parts of bounded length. keep names columns of the
+    regions that stay beside the feature.
     """
     at = F.array("x", "y").alias("at")
     shapes = (
@@ -111,7 +114,7 @@ def features(regions: DataFrame, vertices: DataFrame, key: str, properties: Sequ
         .agg(_ordered(F.collect_list(F.struct("part", "rings")), "rings").alias("coordinates"))
         .select("geo_id", _shape("MultiPolygon"))
     )
-    return _features(shapes, regions, key, properties)
+    return _features(shapes, regions, key, properties, keep=keep)
 
 
 def outline_pieces(
@@ -136,12 +139,13 @@ def _shape(kind: str) -> Column:
 
 
 def _features(
-    shapes: DataFrame, regions: DataFrame, key: str, properties: Sequence[str], more: Sequence[str] = ()
+    shapes: DataFrame, regions: DataFrame, key: str, properties: Sequence[str], more: Sequence[str] = (), keep: Sequence[str] = ()
 ) -> DataFrame:
-    named = regions.select(regions[key].alias("geo_id"), F.struct(*[regions[c] for c in properties]).alias("own"))
+    named = regions.select(regions[key].alias("geo_id"), F.struct(*[regions[c] for c in properties]).alias("own"), *(regions[c].alias(f"_{c}") for c in keep))
     values = F.to_json(F.struct("own.*", *more), {"ignoreNullFields": "false"})
     return shapes.join(named, "geo_id").select(
         F.concat(
             F.lit('{"type":"Feature","properties":'), values, F.lit(',"geometry":'), F.col("shape"), F.lit("}")
-        ).alias("feature")
+        ).alias("feature"),
+        *(F.col(f"_{c}").alias(c) for c in keep),
     )

@@ -9,10 +9,12 @@ from regioflux.functions.text import number_text, thousands
 from regioflux.operators import flows as fl
 from regioflux.operators import geometry as geo
 from regioflux.operators import layers
+from regioflux.operators.layout import curve_places, layout_view, write_layout
 from regioflux.operators.noding import noded
 from regioflux.operators.rings import dissolve_rings
 from regioflux.plans import hazard_risk as plan
-from regioflux.session import with_folder
+from regioflux.session import new_path, with_folder
+from regioflux.sources.layer_files import BOX, read_layer_files, shape_vertices, write_layer_files
 from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import query
 from regioflux.workload.risk_queries import ordinal_sql, percentile_sql, rating_sql
@@ -64,6 +66,38 @@ def geo_viewport(spark: SparkSession, sf: str) -> DataFrame:
     return geo.in_view(fx.parcel_vertices(spark, sf), (20.5, 2.5, 60.25, 9.5))
 
 
+VIEW = (20.5, 2.5, 60.25, 9.5)
+IN_VIEW_SQL = """SELECT geo_id FROM parcels GROUP BY 1 HAVING max(x) >= 20.5 AND min(x) <= 60.25 AND max(y) >= 2.5 AND min(y) <= 9.5"""
+
+
+@query(
+    f"""SELECT geo_id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring, CAST(seq AS INTEGER) AS seq, x, y
+    FROM parcels WHERE geo_id IN ({IN_VIEW_SQL})""",
+    ("parcels",),
+)
+def geo_viewport_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines in a view, read from files that follow a curve through space."""
+    path = new_path(with_folder(spark), "layout")
+    write_layout(fx.parcel_vertices(spark, sf), path)
+    return layout_view(spark, path, VIEW)
+
+
+@query(
+    f"""SELECT n_name, geo_id, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring, CAST(seq AS INTEGER) AS seq, x, y
+    FROM parcels JOIN nation ON c_nationkey = n_nationkey WHERE geo_id IN ({IN_VIEW_SQL})""",
+    ("parcels",),
+)
+def layer_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels written as a layer of GeoJSON files in the order of the curve, and the outlines in a view read back from it."""
+    path = new_path(with_folder(spark), "layer")
+    vertices = fx.parcel_vertices(spark, sf)
+    parcels = curve_places(geo.boxes(vertices)).join(fx.parcel_groups(spark, sf), "geo_id")
+    features = layers.features(parcels, vertices, "geo_id", ("geo_id", "n_name"), keep=(*BOX, "level", "place"))
+    write_layer_files(features.repartitionByRange("level", "place").drop("level", "place"), path)
+    found = read_layer_files(spark, path, "geo_id bigint, n_name string", view=VIEW)
+    return shape_vertices(found, "geo_id", "n_name")
+
+
 @query(
     """SELECT geo_id, CAST(seq AS INTEGER) AS seq, round(x * 100000 / 6378137.0::DOUBLE * 180 / pi(), 8) AS x,
         round((2 * atan(exp(y * 100000 / 6378137.0::DOUBLE)) - pi() / 2) * 180 / pi(), 8) AS y,

@@ -14,7 +14,7 @@ from regioflux.workload import fixtures as fx
 from regioflux.workload.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-PYTHON_SCANS = {"cells_scan", "file_years"}
+PYTHON_SCANS = {"cells_scan", "file_years", "layer_files"}
 
 
 def optimized(df):
