@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with their production parameters."""
+"""The registered queries of the thirteen operators, with their production parameters."""
 
 from __future__ import annotations
 
@@ -81,7 +81,26 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 JACCARD = jaccard.Rule(k=4, num=85, den=100)
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)])
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+    ), sizes AS (SELECT doc_id, s, len(s)::BIGINT AS n FROM sets
+    ), same AS (SELECT list_sort(s) AS s, n, min(doc_id) AS id FROM sizes WHERE n > 0 GROUP BY ALL
+    ), held AS (SELECT id, n, unnest(s) AS shingle FROM same
+    ), links AS (
+        SELECT a.id AS a, b.id AS b FROM held a JOIN held b ON a.shingle = b.shingle AND a.id <> b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ), reach AS (
+        SELECT id AS a, id AS b FROM same UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+    ), least_id AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT d.doc_id, d.n AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+    FROM sizes d LEFT JOIN same m ON m.s = list_sort(d.s) AND d.n > 0 LEFT JOIN least_id l ON l.a = m.id
+    """
+)
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), JACCARD)
 
@@ -151,7 +170,22 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"), rules)
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE vectors AS (
+        SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9
+    ), reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+    ), least_id AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id, coalesce(l.component_id, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN least_id l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+    """
+)
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
 

@@ -1,6 +1,6 @@
 """URL filters: exact membership of URL keys in rule lists by a cascade of Bloom filters, without joins on the URLs' path.
 
-A key is a host suffix (at a dot) and the beginning of a path, of a length that some rule has. The universe of keys is that of the
+A key is a host suffix (at a dot) with as many labels as some rule has, and the beginning of a path, of a length that some rule has. The universe of keys is that of the
 whole table and the list. Level 1 encodes the listed keys; the universe's other keys that it lets through are encoded by level 2, the
 listed ones that this lets through by level 3, and so on until none is left. A key of the universe is listed if the first level
 that rejects it is an even one (none: if the number of levels is odd), so the answer is exact for every URL of the table.
@@ -49,11 +49,15 @@ def key(host_part: Column, path_part: Column) -> Column:
     return F.concat(F.length(host_part).cast("string"), F.lit(":"), host_part, path_part)
 
 
-def keys(lengths: list[int]) -> Column:
-    """All keys of columns host and path, for paths of the given lengths."""
-    labels = F.split("host", r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+def labels(host_part: str) -> Column:
+    """How many labels a host has."""
+    return F.length(host_part) - F.length(F.replace(host_part, F.lit("."), F.lit(""))) + 1
+
+
+def keys(counts: list[int], lengths: list[int]) -> Column:
+    """All keys of columns host and path, for hosts of the given numbers of labels and paths of the given lengths."""
+    some = F.array(*(F.when(labels("host") >= n, F.substring_index("host", ".", -n)) for n in counts))
+    suffixes = F.filter(some, lambda x: x.isNotNull())
     begins = F.filter(F.array(*(F.when(F.length("path") >= m, F.substring("path", 1, m)) for m in lengths)), lambda x: x.isNotNull())
     made = F.flatten(F.transform(suffixes, lambda h: F.transform(begins, lambda p: key(h, p))))
     return F.when(F.col("host") != "", made).otherwise(F.array().cast("array<string>"))
@@ -69,8 +73,8 @@ class Level(NamedTuple):
 
 
 def _places(value: Column, number: int, bits: int, hashes: int) -> list[Column]:
-    """Bit numbers of a value: one hash for each function."""
-    return [F.pmod(F.xxhash64(value, F.lit(number), F.lit(j)), F.lit(bits)) for j in range(hashes)]
+    """Bit numbers of a value: one hash for each function. The level comes first, so keys that collide in one level part in the next."""
+    return [F.pmod(F.xxhash64(F.lit(number), F.lit(j), value), F.lit(bits)) for j in range(hashes)]
 
 
 def _level(values: DataFrame, number: int, bits: int, hashes: int) -> Level:
@@ -134,11 +138,12 @@ def _split(df: DataFrame, part: int, parts: int) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", id_column: str = "page_id") -> DataFrame:
     """(id_column, host, path, rule, verdict) of every page. rules: (host, path, verdict), verdict being allow or block."""
     rules = rules.filter(F.col("host").isNotNull() & (F.col("host") != "") & F.col("path").isNotNull()).select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").distinct()
+    counts = sorted(r[0] for r in rules.select(labels("host")).distinct().collect())  # numbers of labels in the list
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # path lengths of the list
     parsed = pages.select(F.col(id_column), host(url).alias("host"), path(url).alias("path"))
     if not lengths:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    parsed = parsed.withColumn("keys", keys(lengths))
+    parsed = parsed.withColumn("keys", keys(counts, lengths))
     listed = rules.select(key(F.col("host"), F.col("path")).alias("key"), "verdict")
     every = parsed.select(F.explode("keys").alias("key")).select("key", F.lit(False).alias("allow"), F.lit(False).alias("block"))
     tagged = every.union(listed.select("key", F.col("verdict") == "allow", F.col("verdict") == "block"))

@@ -93,6 +93,17 @@ def test_cascade_is_exact(spark, monkeypatch, part):
     assert sorted(r[0] for r in found) == list(range(0, 3000, 25))
 
 
+def test_url_filter_hosts_of_thousands_of_labels(spark):
+    """Only suffixes with as many labels as a rule's host are looked at, so a long host costs its length."""
+    long = "a." * 8000
+    rows = [(1, f"x://{long}net/es/"), (2, f"x://{long}example.com/en/"), (3, f"x://{long}"), (4, "x://" + "." * 5000 + "net/fr/" + "b" * 9000), (5, f"x://{long}www.example.com/en/")]
+    pages = spark.createDataFrame([(i + 10 * k, u) for k in range(40) for i, u in rows], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_cascade.judge(pages, rules).collect()}
+    wanted = {1: ("net/es/", "block"), 2: ("example.com/en/", "block"), 3: (None, "allow"), 4: ("net/fr/", "block"), 5: ("www.example.com/en/", "allow")}
+    assert found == {i + 10 * k: wanted[i] for k in range(40) for i in wanted}
+
+
 # 2 Packing
 
 
