@@ -60,12 +60,16 @@ def count_wide(
 ) -> DataFrame:
     """Rows per key with one count column per value, 0 where there is none.
 
-    values is a list, or {value: column name}; without it all values that occur get a column. A value that is not listed is
+    values is a list, or {value: column name}; without it all values that occur get a column, and more of them than
+    spark.sql.pivotMaxValues are an error, as for a pivot. A value that is not listed is
     counted in the column named by rest, and is an error if there is none. sums {result: column} adds null-safe totals to the
     same pass. Conditional counts need one shuffle, a pivot two.
     """
     if values is None:
-        values = sorted(r[0] for r in df.select(column).distinct().na.drop().collect())  # as many as the result has columns
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        values = sorted(r[0] for r in df.select(column).distinct().na.drop().limit(most + 1).collect())
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} values (spark.sql.pivotMaxValues)")
     labels = values if isinstance(values, Mapping) else {v: v for v in values}
     other = not_in(df[column], list(labels)) & df[column].isNotNull()
     if rest is None:

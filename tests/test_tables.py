@@ -107,6 +107,12 @@ def test_incidents(spark):
     assert rows(groups.count_wide(recent, "STUSPS", "incidentType", ["Fire"], rest="other")) == [(None, 1, 0), ("PR", 1, 0), ("TX", 1, 1)]
     with pytest.raises(PySparkException, match="unlisted value of incidentType: Flood"):
         groups.count_wide(recent, "STUSPS", "incidentType", ["Fire"]).collect()
+    spark.conf.set("spark.sql.pivotMaxValues", "1")
+    try:
+        with pytest.raises(ValueError, match="more than 1 values"):
+            groups.count_wide(recent, "STUSPS", "incidentType")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
 
 
 def test_group_measures(spark):
