@@ -28,9 +28,10 @@ def in_blocks(vertices: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     Every block also holds the first vertex of the next block that exists, whatever seq leaves out, so that blocks
     join up. Grouping by ring and block spreads a ring of any length over many tasks; the order of a ring's blocks comes
-    from one row for each block.
+    from one row for each block. Vertices are dealt out first: a file that is small on disk is read by one task, which would else
+    sort all of them for the blocks' first ones.
     """
-    cut = vertices.select(*RING, "seq", "x", "y", F.floor(F.col("seq") / chunk).alias("block"))
+    cut = vertices.select(*RING, "seq", "x", "y", F.floor(F.col("seq") / chunk).alias("block")).repartition(*RING, "block")
     heads = cut.groupBy(*RING, "block").agg(F.min(F.struct("seq", "x", "y")).alias("head"))
     before = F.lag("block").over(Window.partitionBy(*RING).orderBy("block"))
     borders = heads.withColumn("before", before).where(F.col("before").isNotNull())
@@ -186,7 +187,8 @@ def dissolve(vertices: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     An edge between two members occurs twice and vanishes. Neighbours must share their vertices exactly;
     where one has a vertex inside the edge of the other, both sides stay in the result.
     """
-    edges = ring_edges(vertices).join(groups.select("geo_id", group), "geo_id")
+    # Sizes are guessed from files, before regions unfold into vertices, so that all edges would be sent to the one task that reads the groups.
+    edges = ring_edges(vertices).join(groups.select("geo_id", group).hint("merge"), "geo_id")
     forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
     undirected = edges.select(
         group,

@@ -26,7 +26,8 @@ def outline_edges(vertices: DataFrame, groups: DataFrame, group: str) -> DataFra
     """
     turn = F.signum("area2") * F.when(F.col("ring") == 0, 1).otherwise(-1)
     turned = ring_moments(vertices).select(*RING, turn.alias("turn")).where("turn <> 0")
-    edges = ring_edges(vertices).join(turned, list(RING)).join(groups.select("geo_id", group), "geo_id")
+    # As in `dissolve`: the sizes that are guessed from files would send all edges to one task.
+    edges = ring_edges(vertices).join(turned.hint("merge"), list(RING)).join(groups.select("geo_id", group).hint("merge"), "geo_id")
     edges = edges.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
     along = F.col("turn") > 0
     pick = lambda a, b: F.when(along, F.col(a)).otherwise(F.col(b))

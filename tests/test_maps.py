@@ -386,3 +386,17 @@ def test_long_rings_meet_in_cells_only(spark):
     assert geo.crossing_rings(ring).count() == 0
     pulled = ring.withColumn("x", F.when(F.col("seq") == 1000, -2.0).otherwise(F.col("x")))
     assert geo.crossing_rings(pulled).count() == 1
+
+
+def planned(df):
+    """The physical plan before adaptive changes, as sizes are guessed from files."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_dissolve_sends_no_edges_to_the_task_that_reads_the_groups(spark, tmp_path):
+    table(spark, *(ring(g, box(g, 0)) for g in range(8))).write.parquet(f"{tmp_path}/vertices")
+    spark.createDataFrame([(g, str(g // 4)) for g in range(8)], "geo_id long, g string").write.parquet(f"{tmp_path}/groups")
+    vertices, groups_ = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("vertices", "groups"))
+    for edges in (geo.dissolve(vertices, groups_, "g"), rings.outline_edges(vertices, groups_, "g")):
+        assert edges.count() == 20
+        assert "BroadcastHashJoin" not in planned(edges)
