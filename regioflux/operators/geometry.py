@@ -227,22 +227,25 @@ def crossing_rings(vertices: DataFrame) -> DataFrame:
     """(geo_id, part, ring) of rings that meet themselves: two edges that do not follow each other have a point in common.
 
     Edges meet in the cells of a grid as wide as the ring's mean edge, so a ring of n edges gives about n cells with a few edges each, and
-    edges of one cell are compared only. Crowded cells are cut into FINER x FINER again. A ring that repeats a vertex in a row meets itself there. Sides are
-    told without rounding. Edges with a missing coordinate are left out.
+    edges of one cell are compared only, each with those behind it in the order of the cell. Crowded cells are cut into FINER x FINER again, and
+    their edges joined. A ring that repeats a vertex in a row meets itself there. Sides are told without rounding. Edges with a missing coordinate are left out.
     """
     edges = ring_edges(vertices, with_next=True)
     edges = edges.where(" AND ".join(f"{c} IS NOT NULL" for c in ("x1", "y1", "x2", "y2")))
     long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     rings = edges.groupBy(*RING).agg(F.avg(long).alias("size"), F.min("seq").alias("start"), F.max("next").alias("stop")).where("size > 0")
-    cells = in_cells(edges.join(rings, list(RING)), F.col("size"))
-    counts = cells.groupBy(*RING, "cx", "cy").agg(F.count("*").alias("held"))
-    cells = cells.join(counts, [*RING, "cx", "cy"]).where("held > 1")
-    crowd = cells.where(F.col("held") > CROWDED).drop("cx", "cy").dropDuplicates([*RING, "seq"])
-    fine = in_cells(crowd, F.col("size") / FINER).withColumn("level", F.lit(1))
-    cells = cells.where(F.col("held") <= CROWDED).withColumn("level", F.lit(0)).unionByName(fine)
+    cells = in_cells(edges.join(rings.hint("merge"), list(RING)), F.col("size"))
     ends = ("seq", "next", "x1", "y1", "x2", "y2")
-    here = cells.select(*RING, "level", "cx", "cy", *ends, "start", "stop")
-    other = cells.select(*RING, "level", "cx", "cy", *(F.col(c).alias(f"o{c}") for c in ends))
+    cells = cells.select(*RING, "cx", "cy", *ends, "size", "start", "stop").repartition(*RING, "cx", "cy")
+    cell = Window.partitionBy(*RING, "cx", "cy").orderBy("seq")
+    held = F.count("*").over(cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    behind = F.collect_list(F.struct(*(F.col(c).alias(f"o{c}") for c in ends))).over(cell.rowsBetween(1, CROWDED - 1))
+    near = cells.withColumns({"held": held, "behind": behind}).where(F.col("held").between(2, CROWDED))
+    near = near.select(*RING, *ends, "start", "stop", F.inline("behind"))
+    crowd = cells.withColumn("held", held).where(F.col("held") > CROWDED).drop("cx", "cy", "held").dropDuplicates([*RING, "seq"])
+    fine = in_cells(crowd, F.col("size") / FINER)
+    other = fine.select(*RING, "cx", "cy", *(F.col(c).alias(f"o{c}") for c in ends))
+    far = fine.hint("merge").join(other, [*RING, "cx", "cy"]).select(*near.columns)
     a, b = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
     c, d = (F.col("ox1"), F.col("oy1")), (F.col("ox2"), F.col("oy2"))
     meets = (turn(*a, *b, *c) * turn(*a, *b, *d) <= 0) & (turn(*c, *d, *a) * turn(*c, *d, *b) <= 0)
@@ -251,8 +254,8 @@ def crossing_rings(vertices: DataFrame) -> DataFrame:
     follows = (F.col("next") == F.col("oseq")) | ((F.col("seq") == F.col("start")) & (F.col("onext") == F.col("stop")))
     # A closed ring's last edge is followed by its first; of an open ring the two may meet like any others.
     follows = (F.col("next") == F.col("oseq")) | (follows & (F.col("x1") == F.col("ox2")) & (F.col("y1") == F.col("oy2")))
-    pairs = here.join(other, [*RING, "level", "cx", "cy"]).where((F.col("seq") < F.col("oseq")) & ~follows & meets)
-    return pairs.select(*RING).distinct()
+    met = (F.col("seq") < F.col("oseq")) & ~follows & meets
+    return near.where(met).select(*RING).unionByName(far.where(met).select(*RING)).distinct()
 
 
 def invalid_rings(vertices: DataFrame) -> DataFrame:

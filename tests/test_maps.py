@@ -400,3 +400,15 @@ def test_dissolve_sends_no_edges_to_the_task_that_reads_the_groups(spark, tmp_pa
     for edges in (geo.dissolve(vertices, groups_, "g"), rings.outline_edges(vertices, groups_, "g")):
         assert edges.count() == 20
         assert "BroadcastHashJoin" not in planned(edges)
+
+
+def test_crossing_rings_joins_edges_of_crowded_cells_only(spark):
+    star = [(math.cos(math.tau * 7 * i / 15), math.sin(math.tau * 7 * i / 15)) for i in range(16)]
+    comb = [(i * 1e-3, i % 2 * 1e-3) for i in range(300)] + [(500.0, 9.0), (0.0, 1.0), (0.0, 0.0)]
+    crossed = [*comb[:100], comb[101], comb[100], comb[101], *comb[102:]]
+    missing = [(None, *r[1:]) for r in ring(0, star)]
+    vertices = spark.createDataFrame(ring(1, star) + ring(2, comb) + ring(3, crossed) + ring(4, box(0, 0)) + missing, VERTICES)
+    found = geo.crossing_rings(vertices)
+    assert rows(found.select("geo_id")) == [(1,), (3,)]
+    # One join with the rings for each of three branches and one of crowded cells; before, cells also met their counts and themselves.
+    assert "BroadcastHashJoin" not in planned(found) and planned(found).count("SortMergeJoin") == 4
