@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 #: Classes of characters that formats tell apart; other characters stand for themselves.
@@ -93,16 +94,17 @@ def _fold(into: _State, tree: _State) -> None:
         p.ended += q.ended
         for symbol, n in q.taken.items():
             p.taken[symbol] = p.taken.get(symbol, 0) + n
+            if symbol not in q.next:
+                continue
             if symbol in p.next:
                 pairs.append((p.next[symbol], q.next[symbol]))
             else:
                 p.next[symbol] = q.next[symbol]
 
 
-def infer(texts: list[str], alpha: float = 0.05) -> Automaton:
+def _merged(root: _State, alpha: float) -> list[_State]:
     """Visits the states next to the accepted ones, breadth first; each is merged into the first accepted state
     that it does not differ from, or is accepted itself."""
-    root = _prefix_tree(sorted(texts))
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     accepted = [root]
     fringe = [(root, symbol) for symbol in sorted(root.next)]
@@ -121,11 +123,69 @@ def infer(texts: list[str], alpha: float = 0.05) -> Automaton:
         else:
             accepted.append(state)
             fringe += [(state, s) for s in sorted(state.next)]
+    return accepted
+
+
+def _moves(accepted: list[_State]) -> list[dict[str, int]]:
     number = {id(x): i for i, x in enumerate(accepted)}
+    return [{s: number[id(x)] for s, x in state.next.items() if id(x) in number} for state in accepted]
+
+
+def _weighted(moves: list[dict[str, int]], taken: list[dict[str, int]], ended: list[int]) -> Automaton:
+    """An automaton of these moves with the shares of what was counted in each state. What has no move leads to the first state."""
     keep = 1 - UNSEEN
-    moves, ends = [], []
-    for state in accepted:
-        n = max(state.arrived, 1)
-        moves.append({s: (number[id(state.next[s])], math.log(keep * c / n)) for s, c in state.taken.items() if id(state.next[s]) in number})
-        ends.append(math.log(keep * state.ended / n) if state.ended else math.log(UNSEEN / 64))
-    return Automaton(moves, ends, math.log(UNSEEN / 64))
+    logs, ends = [], []
+    for to, counts, end in zip(moves, taken, ended, strict=True):
+        n = max(sum(counts.values()) + end, 1)
+        logs.append({s: (to.get(s, 0), math.log(keep * c / n)) for s, c in counts.items()})
+        ends.append(math.log(keep * end / n) if end else math.log(UNSEEN / 64))
+    return Automaton(logs, ends, math.log(UNSEEN / 64))
+
+
+def infer(texts: list[str], alpha: float = 0.05) -> Automaton:
+    accepted = _merged(_prefix_tree(sorted(texts)), alpha)
+    return _weighted(_moves(accepted), [x.taken for x in accepted], [x.ended for x in accepted])
+
+
+def structure(nodes: dict[int, dict[str, int]], child: Callable[[int, str, int], int], alpha: float = 0.05) -> list[dict[str, int]]:
+    """The moves of the automaton of a prefix tree that was counted elsewhere: the symbols after each prefix, "" for the end.
+
+    child: the number of the prefix that a symbol makes of one, which has this length; the empty prefix is 0. A prefix that is not among the nodes is
+    too rare to be told from the first state, and so leads there.
+    """
+    state: dict[int, _State] = {}
+    for number, taken in nodes.items():
+        made = state[number] = _State()
+        made.arrived, made.ended = sum(taken.values()), taken.get("", 0)
+        made.taken = {s: taken[s] for s in sorted(taken) if s}
+    if 0 not in state:
+        return [{}]
+    level, length = [0], 0
+    while level:
+        below = []
+        for number in level:
+            for symbol in state[number].taken:
+                to = child(number, symbol, length)
+                if to in state:
+                    state[number].next[symbol] = state[to]
+                    below.append(to)
+        level, length = below, length + 1
+    return _moves(_merged(state[0], alpha))
+
+
+def walk(moves: list[dict[str, int]], text: str, counts: dict[tuple[int, str], int]) -> None:
+    """Adds what a text takes in each state, "" for its end."""
+    state = 0
+    for symbol in shape(text):
+        counts[state, symbol] = counts.get((state, symbol), 0) + 1
+        state = moves[state].get(symbol, 0)
+    counts[state, ""] = counts.get((state, ""), 0) + 1
+
+
+def weighted(moves: list[dict[str, int]], counts: dict[tuple[int, str], int]) -> Automaton:
+    """The automaton of these moves with the shares that walks have counted."""
+    taken: list[dict[str, int]] = [{} for _ in moves]
+    for (state, symbol), n in counts.items():
+        if symbol:
+            taken[state][symbol] = n
+    return _weighted(moves, taken, [counts.get((i, ""), 0) for i in range(len(moves))])

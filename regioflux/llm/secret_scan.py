@@ -1,11 +1,14 @@
 """Secret scans: base patterns, and credential-like strings found by the likelihood of inferred formats.
 
 One pass over whole texts finds the base spans and all candidates (runs of CANDIDATE characters of at least LEAST with
-a letter and a digit outside the base spans). The credentials inside the base spans are the labelled sample: for each kind, the
-SAMPLE values of at most LONGEST characters with the smallest hashes train one probabilistic automaton (states of the prefix tree merged by a Hoeffding
-test), and as many candidates and words give the background. Every candidate of every document is then scored: the best automaton's
+a letter and a digit outside the base spans). All distinct credentials inside the base spans are the labelled values: for each kind, Spark
+counts the prefixes of all of them, the states of their prefix tree are merged by a Hoeffding test to a probabilistic automaton, and a walk of all
+values through it gives its shares. All distinct candidates give the background. Every candidate of every document is then scored: the best automaton's
 log-likelihood per character less the background's. It becomes a span of kind `format` if the score reaches the
-LOWEST quantile of the labelled values and is above 0.
+LOWEST quantile of all labelled values and is above 0.
+
+The driver holds at most STATES prefixes of a kind, those that most values share; a prefix that fewer share is no state of its own
+and goes on from the first state, where the test would merge a prefix of one value as well.
 
 Defined cases: null and empty texts give no spans; documents with the same id are scanned each; without labelled values
 of any kind no span is added; an empty table gives no rows. Offsets are in code points, ends exclusive.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regioflux.llm import grammar, textbytes
-from regioflux.llm.arrow import add_columns, text_column
+from regioflux.llm.arrow import add_columns, by_bytes, fields, text_column
+from regioflux.llm.byte_level import in_slices
+from regioflux.llm.storage import written
 
-#: Values of each kind and background strings that train the automata: a bound on the fit alone.
-SAMPLE = 2000
-#: Longest value, in characters, that trains an automaton, which bounds the sample and its prefix tree. Values of any length are scored.
+#: Prefixes of each kind that can become states.
+STATES = 1 << 16
+#: Length of the prefixes that can become states, which bounds the merging of long chains. Values of any length are counted whole and scored.
 LONGEST = 2048
 LEAST = 16
 LOWEST = 0.02
@@ -130,37 +136,138 @@ class Formats(NamedTuple):
         return max(a.score(value) for a in self.automata) - self.background.score(value)
 
 
-def formats(values: dict[int, list[str]], others: list[str]) -> Formats:
-    values = {k: v for k, v in values.items() if v}
-    if not values:
+def formats(automata: dict[int, grammar.Automaton], symbols: list[tuple[str, int]]) -> Formats:
+    """The automata with a background of one state: what a string of such characters is like without a format. symbols: how often each occurs, "" for the end."""
+    if not automata:
         return Formats([], None, math.inf)
-    automata = [grammar.infer(v) for _, v in sorted(values.items())]
-    background = _unordered(others or [x for v in values.values() for x in v])
-    model = Formats(automata, background, 0.0)
-    own = sorted(model.score(x) for v in values.values() for x in v)
-    return model._replace(least=max(own[int(LOWEST * len(own))], 1e-9))
-
+    total = sum(n for _, n in symbols)
+    shares = {s: math.log(n / total) for s, n in symbols}
+    background = grammar.Automaton([{s: (0, log) for s, log in shares.items() if s}], [shares[""]], math.log(1 / total))
+    return Formats([a for _, a in sorted(automata.items())], background, 0.0)
 
-def _unordered(texts: list[str]) -> grammar.Automaton:
-    """One state with the shares of symbols: what a string of such characters is like without a format."""
-    counts: dict[str, int] = {}
-    for text in texts:
-        for symbol in grammar.shape(text):
-            counts[symbol] = counts.get(symbol, 0) + 1
-    total = sum(counts.values()) + len(texts)
-    return grammar.Automaton([{s: (0, math.log(c / total)) for s, c in counts.items()}], [math.log(len(texts) / total)], math.log(1 / total))
 
+_SHAPES = np.arange(256, dtype=np.uint64)
+for _of, _class in grammar.CLASSES.items():
+    _SHAPES[ord(_of)] = ord(_class)
+
+
+def _placed(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each symbol at its place; a prefix is the sum of its symbols' numbers."""
+    return textbytes.mix(symbols + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(256))
+
+
+def _child(prefix: int, symbol: str, length: int) -> int:
+    with np.errstate(over="ignore"):
+        step = _placed(np.array([ord(symbol)], dtype=np.uint64), np.array([length]))
+        return int((np.array([prefix], dtype=np.int64).view(np.uint64) + step).view(np.int64)[0])
+
+
+def _prefixes(kinds: np.ndarray, values: list[str]) -> dict[str, np.ndarray]:
+    """kind, prefix, symbol after it (0 for the end) and how often, over all places of some values up to LONGEST."""
+    raw = np.frombuffer("".join(values).encode("latin-1"), dtype=np.uint8)
+    lengths = np.array([len(v) for v in values], dtype=np.int64)
+    counts = np.minimum(lengths + 1, LONGEST)
+    first = np.cumsum(counts) - counts
+    places = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    at = np.repeat(np.cumsum(lengths) - lengths, counts) + places
+    symbols = np.where(places < np.repeat(lengths, counts), _SHAPES[np.append(raw, 0)[np.minimum(at, len(raw))]], np.uint64(0))
+    steps = _placed(symbols, places)
+    sums = np.cumsum(steps)
+    before = sums - steps
+    before -= np.repeat(before[first], counts)
+    of = np.repeat(kinds, counts).astype(np.int64)
+    _, some, n = np.unique(before + steps + textbytes.mix(of.astype(np.uint64)), return_index=True, return_counts=True)
+    return {"kind": of[some], "prefix": before.view(np.int64)[some], "symbol": symbols[some].astype(np.int64), "n": n.astype(np.int64)}
+
+
+def _counted(values: DataFrame, ddl: str, make: Callable[[np.ndarray, list[str]], dict]) -> DataFrame:
+    """The columns that make counts over slices of (kind, value)."""
+    names = fields(ddl).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, first = text_column(batch, "kind").to_numpy(), 0
+            for texts in in_slices(text_column(batch, "value").to_pylist(), textbytes.SLICE):
+                made = make(kinds[first : first + len(texts)], texts)
+                first += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(made[c]) for c in names], names=names)
+
+    return by_bytes(values).mapInArrow(run, ddl)
+
+
+def _symbols(kinds: np.ndarray, values: list[str]) -> dict:
+    counts = np.bincount(_SHAPES[np.frombuffer("".join(values).encode("latin-1"), dtype=np.uint8)].astype(np.int64), minlength=256)
+    counts[0] = len(values)
+    return {"symbol": np.flatnonzero(counts), "n": counts[counts > 0]}
+
+
+def _structures(values: DataFrame) -> dict[int, list[dict[str, int]]]:
+    """The moves of each kind's automaton, from the prefixes that most of its values share."""
+    places = F.sum(F.least(F.length("value") + 1, F.lit(LONGEST)))
+    least = {r[0]: max(2, -(-r[1] // STATES)) for r in values.groupBy("kind").agg(places).collect()}
+    ddl = "kind long, prefix long, symbol long, n long"
+    counts = _counted(values, ddl, _prefixes).groupBy("kind", "prefix", "symbol").agg(F.sum("n").alias("n"))
+    after = counts.groupBy("kind", "prefix").agg(F.sum("n").alias("arrived"), F.collect_list(F.struct("symbol", "n")).alias("after"))
+    enough = F.lit(False)
+    for kind, n in least.items():
+        enough = enough | (F.col("kind") == kind) & (F.col("arrived") >= n)
+    nodes: dict[int, dict[int, dict[str, int]]] = {kind: {} for kind in least}
+    for r in after.where(enough).select("kind", "prefix", "after").toLocalIterator():  # at most STATES of a kind
+        nodes[r.kind][r.prefix] = {chr(x.symbol) if x.symbol else "": x.n for x in r.after}
+    return {kind: grammar.structure(x, _child) for kind, x in nodes.items()}
+
+
+def _automata(values: DataFrame, moves: dict[int, list[dict[str, int]]]) -> dict[int, grammar.Automaton]:
+    """Each kind's automaton with the shares of all its values."""
+
+    def walks(kinds: np.ndarray, texts: list[str]) -> dict:
+        counts: dict[int, dict[tuple[int, str], int]] = {kind: {} for kind in moves}
+        for kind, text in zip(kinds.tolist(), texts, strict=True):
+            grammar.walk(moves[kind], text, counts[kind])
+        found = [(kind, state, symbol, n) for kind, x in counts.items() for (state, symbol), n in x.items()]
+        return {name: pa.array([r[i] for r in found], type=t) for i, (name, t) in enumerate((("kind", pa.int64()), ("state", pa.int64()), ("symbol", pa.string()), ("n", pa.int64())))}
+
+    counts = _counted(values, "kind long, state long, symbol string, n long", walks).groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n"))
+    found: dict[int, dict[tuple[int, str], int]] = {kind: {} for kind in moves}
+    for r in counts.toLocalIterator():  # states times symbols
+        found[r.kind][r.state, r.symbol] = r.n
+    return {kind: grammar.weighted(moves[kind], x) for kind, x in found.items()}
+
+
+def _in_order(bits: np.ndarray) -> np.ndarray:
+    """The bits of doubles as integers of the same order, and back."""
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
+def _quantile(values: DataFrame, model: Formats) -> float:
+    """The score that a share of LOWEST of all labelled values stays below, found 16 bits at a time."""
+
+    def scores(kinds: np.ndarray, texts: list[str]) -> dict:
+        return {"key": _in_order(np.array([model.score(x) for x in texts], dtype=np.float64).view(np.int64))}
 
-def learn(scanned: DataFrame) -> Formats:
-    """From at most SAMPLE values of each kind and SAMPLE candidates of at most LONGEST characters, those with the smallest hashes."""
+    keys = written(_counted(values, "key long", scores), "secret-scores")
+    left, found = int(LOWEST * keys.count()), 0
+    for shift in (48, 32, 16, 0):
+        for r in keys.groupBy(F.shiftright("key", shift).alias("head")).count().orderBy("head").toLocalIterator():  # at most 1 << 16 rows
+            if left < r["count"]:
+                found = r["head"]
+                break
+            left -= r["count"]
+        keys = keys.where(F.shiftright("key", shift) == found)
+    return float(_in_order(np.array([found], dtype=np.int64)).view(np.float64)[0])
 
-    def least(column: str, rule=None) -> list[str]:
-        rows = scanned.select(F.explode(column).alias("x"))
-        rows = rows if rule is None else rows.filter(rule)
-        rows = rows.select(F.col("x.value").alias("value")).filter(F.length("value") <= LONGEST).distinct()
-        return [r[0] for r in rows.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()]
 
-    return formats({k: least("secrets", F.col("x.kind") == k) for k in range(3)}, least("candidates"))
+def learn(scanned: DataFrame) -> Formats:
+    """From all distinct values of each kind and all distinct candidates."""
+    held = lambda column: scanned.select(F.explode(column).alias("x"))
+    values = written(held("secrets").select(F.col("x.kind").cast("long").alias("kind"), F.col("x.value").alias("value")).distinct(), "secret-values")
+    moves = _structures(values)
+    if not moves:
+        return formats({}, [])
+    others = held("candidates").select(F.lit(0).cast("long").alias("kind"), F.col("x.value").alias("value")).distinct()
+    shares = lambda texts: [(chr(r.symbol) if r.symbol else "", r.n) for r in _counted(texts, "symbol long, n long", _symbols).groupBy("symbol").agg(F.sum("n").alias("n")).collect()]
+    model = formats(_automata(values, moves), shares(others) or shares(values))
+    return model._replace(least=max(_quantile(values, model), 1e-9))
 
 
 def add_spans(scanned: DataFrame, model: Formats) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 
 import brute
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from regioflux.llm import quality, secret_scan, textbytes, toxicity
+from regioflux.llm import grammar, quality, secret_scan, textbytes, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 LONG = "tok " * 200_000 + "end."
@@ -134,3 +135,49 @@ def test_format_spans_equal_a_plain_search(spark):
                 added += 1
         assert [(x.kind, x.start, x.stop) for x in found[i].spans] == sorted(wanted, key=lambda x: (x[1], x[0]))
     assert added >= 100
+
+
+def test_formats_are_learned_from_all_values(spark, monkeypatch):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    values = sorted({*(f"sk-{some(9)}" for _ in range(2300)), *(some(12).upper() + "=" for _ in range(700)), "ab" * 2000, "sk-" + "7" * 3000})
+    others = [f"w{some(20)}g{i}" for i in range(2500)]
+    rows = [(i, f"token={v} {w}") for i, (v, w) in enumerate(zip(values, others * 2, strict=False))]
+    docs = spark.createDataFrame(rows + rows[:900], "doc_id long, text string").repartition(5)
+    scanned = secret_scan.scan(docs)
+    model = secret_scan.learn(scanned)
+    kinds = {k: sorted({x.value for r in scanned.select("secrets").collect() for x in r.secrets if x.kind == k}) for k in range(3)}
+    assert kinds[0] == values and not kinds[1] and len(kinds[2]) == 2 and len(model.automata) == 2
+    for automaton, texts in zip(model.automata, (kinds[0], kinds[2]), strict=True):
+        moves = [{s: to for s, (to, _) in state.items()} for state in automaton.moves]
+        counts: dict = {}
+        for text in texts:
+            grammar.walk(moves, text, counts)
+        assert automaton == grammar.weighted(moves, counts) and sum(n for (_, s), n in counts.items() if not s) == len(texts)
+    found = {x.value for r in scanned.select("candidates").collect() for x in r.candidates}
+    letters = Counter("".join(map(grammar.shape, found)))
+    total = sum(letters.values()) + len(found)
+    assert model.background.moves == [{s: (0, math.log(n / total)) for s, n in sorted(letters.items())}] and model.background.ends == [math.log(len(found) / total)]
+    own = sorted(model.score(x) for texts in kinds.values() for x in texts)
+    assert model.least == max(own[int(secret_scan.LOWEST * len(own))], 1e-9)
+    monkeypatch.setattr(secret_scan, "LOWEST", 0.5)
+    assert secret_scan.learn(scanned).least == max(own[len(own) // 2], 1e-9)
+    # Few states keep only the prefixes that most values share; the shares still come from all.
+    monkeypatch.setattr(secret_scan, "STATES", 50)
+    assert sum(math.exp(log) for _, log in secret_scan.learn(scanned).automata[0].moves[0].values()) > 0.5
+
+
+def test_counted_prefixes_merge_as_the_prefix_tree_does():
+    rng = random.Random(1)
+    values = sorted({rng.choice(["ab", "sk_live_"]) + "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 12]))) for _ in range(300)})
+    found = secret_scan._prefixes(np.zeros(len(values), dtype=np.int64), values)
+    nodes: dict = {}
+    for prefix, symbol, n in zip(*(found[c].tolist() for c in ("prefix", "symbol", "n")), strict=True):
+        nodes.setdefault(prefix, {})[chr(symbol) if symbol else ""] = n
+    moves, plain, counts = grammar.structure(nodes, secret_scan._child), grammar.infer(values), {}
+    assert len(moves) > 5 and moves == [{s: to for s, (to, _) in x.items()} for x in plain.moves]
+    assert moves == grammar.structure({p: x for p, x in nodes.items() if sum(x.values()) > 1}, secret_scan._child)
+    for value in values:
+        grammar.walk(moves, value, counts)
+    automaton = grammar.weighted(moves, counts)
+    assert all(abs(automaton.score(x) - plain.score(x)) < 1e-12 for x in values)
