@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 #: Classes of characters that formats tell apart; other characters stand for themselves.
@@ -17,6 +17,8 @@ CLASSES = {
 _SIZE = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
 #: Probability that an automaton gives to all symbols and ends it has not seen in a state.
 UNSEEN = 0.01
+#: Error that each of Hoeffding's tests is allowed.
+ALPHA = 0.05
 
 
 def shape(text: str) -> str:
@@ -103,27 +105,39 @@ def _fold(into: _State, tree: _State) -> None:
 
 
 def _merged(root: _State, alpha: float) -> list[_State]:
-    """Visits the states next to the accepted ones, breadth first; each is merged into the first accepted state
-    that it does not differ from, or is accepted itself."""
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
+    """Visits all states next to the accepted ones in rounds. In each, all are tested with the counts at its beginning, in order of accepted state and symbol; a state
+    is merged into the first accepted one that it does not differ from, and the first that differs from all is accepted itself."""
+    bound = hoeffding(alpha)
     accepted = [root]
-    fringe = [(root, symbol) for symbol in sorted(root.next)]
-    while fringe:
-        parent, symbol = fringe.pop(0)
-        state = parent.next[symbol]
-        if any(state is x for x in accepted):
-            continue
-        for known in accepted:
-            if _compatible(known, state, bound):
-                before = {id(x): set(x.next) for x in accepted}
-                parent.next[symbol] = known
-                _fold(known, state)
-                fringe += [(x, s) for x in accepted for s in sorted(set(x.next) - before[id(x)])]
-                break
-        else:
-            accepted.append(state)
-            fringe += [(state, s) for s in sorted(state.next)]
-    return accepted
+    while True:
+        known_ones = {id(x) for x in accepted}
+        fringe = [(i, symbol) for i, x in enumerate(accepted) for symbol in sorted(x.next) if id(x.next[symbol]) not in known_ones]
+        if not fringe:
+            return accepted
+        merges, new = decided(fringe, len(accepted), lambda at, k: not _compatible(accepted[k], accepted[at[0]].next[at[1]], bound))
+        more = [accepted[i].next[symbol] for i, symbol in new]
+        for (i, symbol), k in merges.items():
+            state = accepted[i].next[symbol]
+            accepted[i].next[symbol] = accepted[k]
+            _fold(accepted[k], state)
+        accepted += more
+
+
+def hoeffding(alpha: float) -> float:
+    return math.sqrt(0.5 * math.log(2 / alpha))
+
+
+def decided(fringe: list[tuple[int, str]], known: int, differ: Callable[[tuple[int, str], int], bool]) -> tuple[dict[tuple[int, str], int], list[tuple[int, str]]]:
+    """A round: the states to merge, with the accepted state that each goes into, and the one (if any) to accept."""
+    merges: dict[tuple[int, str], int] = {}
+    new: list[tuple[int, str]] = []
+    for at in fringe:
+        into = next((k for k in range(known) if not differ(at, k)), None)
+        if into is not None:
+            merges[at] = into
+        elif not new:
+            new = [at]
+    return merges, new
 
 
 def _moves(accepted: list[_State]) -> list[dict[str, int]]:
@@ -142,16 +156,15 @@ def _weighted(moves: list[dict[str, int]], taken: list[dict[str, int]], ended: l
     return Automaton(logs, ends, math.log(UNSEEN / 64))
 
 
-def infer(texts: list[str], alpha: float = 0.05) -> Automaton:
+def infer(texts: list[str], alpha: float = ALPHA) -> Automaton:
     accepted = _merged(_prefix_tree(sorted(texts)), alpha)
     return _weighted(_moves(accepted), [x.taken for x in accepted], [x.ended for x in accepted])
 
 
-def structure(nodes: dict[int, dict[str, int]], child: Callable[[int, str, int], int], alpha: float = 0.05) -> list[dict[str, int]]:
+def structure(nodes: dict[int, dict[str, int]], child: Callable[[int, str, int], int], alpha: float = ALPHA) -> list[dict[str, int]]:
     """The moves of the automaton of a prefix tree that was counted elsewhere: the symbols after each prefix, "" for the end.
 
-    child: the number of the prefix that a symbol makes of one, which has this length; the empty prefix is 0. A prefix that is not among the nodes is
-    too rare to be told from the first state, and so leads there.
+    child: the number of the prefix that a symbol makes of one, which has this length; the empty prefix is 0. A prefix that is not among the nodes leads to the first state.
     """
     state: dict[int, _State] = {}
     for number, taken in nodes.items():
@@ -182,6 +195,40 @@ def walk(moves: list[dict[str, int]], text: str, counts: dict[tuple[int, str], i
     counts[state, ""] = counts.get((state, ""), 0) + 1
 
 
+#: Numbers of the nodes below a fringe state are polynomials of the symbols.
+_PRIME, _BASE = (1 << 61) - 1, 1_907_246_513_806_392_517
+
+
+def visits(moves: list[dict[str, int]], text: str) -> Iterator[tuple[int, str, int, tuple[int, ...] | None]]:
+    """The nodes that a text passes, each with the symbol taken there ("" for the end), the fringe state that it is below, and where each accepted state comes by the same symbols.
+
+    Accepted state s is node -1 - s and below none (-1). Fringe state f, s * 256 + the symbol that s has no move for, is node f, and the nodes below have numbers made of f and the symbols.
+    """
+    symbols = shape(text)
+    state, here = 0, 0
+    while here < len(symbols) and symbols[here] in moves[state]:
+        yield -1 - state, symbols[here], -1, None
+        state = moves[state][symbols[here]]
+        here += 1
+    yield -1 - state, symbols[here : here + 1], -1, None
+    if here == len(symbols):
+        return
+
+    def after(node: int, symbol: str) -> int:
+        if node >= 0:
+            return (node * _BASE + ord(symbol) + 1) % _PRIME
+        to = moves[-1 - node].get(symbol)
+        return -1 - to if to is not None else (-1 - node) * 256 + ord(symbol)
+
+    fringe = node = state * 256 + ord(symbols[here])
+    others = tuple(-1 - s for s in range(len(moves)))
+    for symbol in symbols[here + 1 :]:
+        yield node, symbol, fringe, others
+        node = after(node, symbol)
+        others = tuple(after(x, symbol) for x in others)
+    yield node, "", fringe, others
+
+
 def weighted(moves: list[dict[str, int]], counts: dict[tuple[int, str], int]) -> Automaton:
     """The automaton of these moves with the shares that walks have counted."""
     taken: list[dict[str, int]] = [{} for _ in moves]

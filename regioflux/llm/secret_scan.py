@@ -1,14 +1,15 @@
 """Secret scans: base patterns, and credential-like strings found by the likelihood of inferred formats.
 
 One pass over whole texts finds the base spans and all candidates (runs of CANDIDATE characters of at least LEAST with
-a letter and a digit outside the base spans). All distinct credentials inside the base spans are the labelled values: for each kind, Spark
-counts the prefixes of all of them, the states of their prefix tree are merged by a Hoeffding test to a probabilistic automaton, and a walk of all
-values through it gives its shares. All distinct candidates give the background. Every candidate of every document is then scored: the best automaton's
+a letter and a digit outside the base spans). All distinct credentials inside the base spans are the labelled values: for each kind, the states
+of the prefix tree of all of them are merged by a Hoeffding test to a probabilistic automaton, and a walk of all values through it gives its shares. All
+distinct candidates give the background. Every candidate of every document is then scored: the best automaton's
 log-likelihood per character less the background's. It becomes a span of kind `format` if the score reaches the
 LOWEST quantile of all labelled values and is above 0.
 
-The driver holds at most STATES prefixes of a kind, those that most values share; a prefix that fewer share is no state of its own
-and goes on from the first state, where the test would merge a prefix of one value as well.
+The driver merges prefix trees of at most STATES places. Of a larger kind it holds the accepted states only: each round of merges is a job in which Spark walks all
+values through them, counts the nodes below the states that are not accepted yet, and tests those nodes against the ones that the accepted states lead to.
+Both ways take the same steps on the same counts, so the automata are equal.
 
 Defined cases: null and empty texts give no spans; documents with the same id are scanned each; without labelled values
 of any kind no span is added; an empty table gives no rows. Offsets are in code points, ends exclusive.
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 from regioflux.llm import grammar, textbytes
 from regioflux.llm.arrow import add_columns, by_bytes, fields, text_column
 from regioflux.llm.byte_level import in_slices
-from regioflux.llm.storage import written
+from regioflux.llm.storage import drop, written
 
-#: Prefixes of each kind that can become states.
+#: Places of all values of a kind up to which the driver merges their prefix tree; Spark merges larger ones.
 STATES = 1 << 16
-#: Length of the prefixes that can become states, which bounds the merging of long chains. Values of any length are counted whole and scored.
-LONGEST = 2048
+#: Numbers that a task counts visits of nodes with before it sends them on.
+VISITS = 1 << 18
 LEAST = 16
 LOWEST = 0.02
 
@@ -163,10 +164,10 @@ def _child(prefix: int, symbol: str, length: int) -> int:
 
 
 def _prefixes(kinds: np.ndarray, values: list[str]) -> dict[str, np.ndarray]:
-    """kind, prefix, symbol after it (0 for the end) and how often, over all places of some values up to LONGEST."""
+    """kind, prefix, symbol after it (0 for the end) and how often, over all places of some values."""
     raw = np.frombuffer("".join(values).encode("latin-1"), dtype=np.uint8)
     lengths = np.array([len(v) for v in values], dtype=np.int64)
-    counts = np.minimum(lengths + 1, LONGEST)
+    counts = lengths + 1
     first = np.cumsum(counts) - counts
     places = np.arange(int(counts.sum())) - np.repeat(first, counts)
     at = np.repeat(np.cumsum(lengths) - lengths, counts) + places
@@ -202,19 +203,84 @@ def _symbols(kinds: np.ndarray, values: list[str]) -> dict:
 
 
 def _structures(values: DataFrame) -> dict[int, list[dict[str, int]]]:
-    """The moves of each kind's automaton, from the prefixes that most of its values share."""
-    places = F.sum(F.least(F.length("value") + 1, F.lit(LONGEST)))
-    least = {r[0]: max(2, -(-r[1] // STATES)) for r in values.groupBy("kind").agg(places).collect()}
-    ddl = "kind long, prefix long, symbol long, n long"
-    counts = _counted(values, ddl, _prefixes).groupBy("kind", "prefix", "symbol").agg(F.sum("n").alias("n"))
-    after = counts.groupBy("kind", "prefix").agg(F.sum("n").alias("arrived"), F.collect_list(F.struct("symbol", "n")).alias("after"))
-    enough = F.lit(False)
-    for kind, n in least.items():
-        enough = enough | (F.col("kind") == kind) & (F.col("arrived") >= n)
-    nodes: dict[int, dict[int, dict[str, int]]] = {kind: {} for kind in least}
-    for r in after.where(enough).select("kind", "prefix", "after").toLocalIterator():  # at most STATES of a kind
-        nodes[r.kind][r.prefix] = {chr(x.symbol) if x.symbol else "": x.n for x in r.after}
-    return {kind: grammar.structure(x, _child) for kind, x in nodes.items()}
+    """The moves of each kind's automaton, from the prefix tree of all its values."""
+    places = {r[0]: r[1] for r in values.groupBy("kind").agg(F.sum(F.length("value") + 1)).collect()}
+    small = [kind for kind, n in places.items() if n <= STATES]
+    moves = _merged_in_rounds(values, sorted(places.keys() - set(small)))
+    if small:
+        ddl = "kind long, prefix long, symbol long, n long"
+        counts = _counted(values.where(F.col("kind").isin(small)), ddl, _prefixes).groupBy("kind", "prefix", "symbol").agg(F.sum("n").alias("n"))
+        nodes: dict[int, dict[int, dict[str, int]]] = {kind: {} for kind in small}
+        for r in counts.toLocalIterator():  # at most STATES of a kind
+            nodes[r.kind].setdefault(r.prefix, {})[chr(r.symbol) if r.symbol else ""] = r.n
+        moves |= {kind: grammar.structure(x, _child) for kind, x in nodes.items()}
+    return moves
+
+
+def _visited(values: DataFrame, moves: dict[int, list[dict[str, int]]]) -> DataFrame:
+    """The nodes that all values pass: how often, what follows how often, and (below a fringe state) the nodes where each accepted state comes by the same symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int, str], int] = {}
+        about: dict[tuple[int, int], tuple] = {}
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            rows = [(kind, node, symbol, n, *about[kind, node]) for (kind, node, symbol), n in counts.items()]
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+
+        for batch in batches:
+            for kind, text in zip(text_column(batch, "kind").to_pylist(), text_column(batch, "value").to_pylist(), strict=True):
+                for node, symbol, fringe, others in grammar.visits(moves[kind], text):
+                    if (kind, node, symbol) not in counts:
+                        held += 2 + len(others or ())
+                        about[kind, node] = fringe, others
+                    counts[kind, node, symbol] = counts.get((kind, node, symbol), 0) + 1
+                    if held >= VISITS:
+                        yield made()
+                        counts, about, held = {}, {}, 0
+        if counts:
+            yield made()
+
+    ddl = "kind long, node long, symbol string, n long, fringe long, others array<long>"
+    names = fields(ddl).names
+    counts = by_bytes(values).mapInArrow(run, ddl).groupBy("kind", "node", "symbol").agg(F.sum("n").alias("n"), F.first("fringe").alias("fringe"), F.first("others").alias("others"))
+    after = F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("after")
+    return counts.groupBy("kind", "node").agg(F.sum("n").alias("arrived"), after, F.first("fringe").alias("fringe"), F.first("others").alias("others"))
+
+
+def _merged_in_rounds(values: DataFrame, kinds: list[int]) -> dict[int, list[dict[str, int]]]:
+    """The moves that `grammar.structure` makes of the prefix trees of all values, without the trees: a walk through the moves so far gives the counts of the merged states."""
+    moves: dict[int, list[dict[str, int]]] = {kind: [{}] for kind in kinds}
+    bound = F.lit(grammar.hoeffding(grammar.ALPHA))
+    share = lambda side, symbol: F.coalesce(F.col(f"after{side}")[symbol], F.lit(0)) / F.col(f"arrived{side}")
+    allowed = bound * (1 / F.sqrt("arrived") + 1 / F.sqrt("arrived_2"))
+    differ = F.exists(F.array_union(F.map_keys("after"), F.map_keys("after_2")), lambda s: F.abs(share("", s) - share("_2", s)) > allowed)
+    left = kinds
+    while left:
+        nodes = _visited(values.where(F.col("kind").isin(left)), moves)
+        # A node that one value passes differs from none, as the test allows it more than 1.
+        nodes = written(nodes.where("arrived > 1 or node >= 0 and node = fringe"), "secret-nodes")
+        fringe: dict[int, list[tuple[int, str]]] = {}
+        for r in nodes.where("node >= 0 and node = fringe").select("kind", "node").orderBy("kind", "node").collect():  # states times symbols
+            fringe.setdefault(r.kind, []).append((r.node // 256, chr(r.node % 256)))
+        pairs = nodes.where("fringe >= 0 and arrived > 1").select("kind", "fringe", "arrived", "after", F.posexplode("others").alias("known", "other"))
+        against = nodes.where("arrived > 1").select("kind", F.col("node").alias("other"), F.col("arrived").alias("arrived_2"), F.col("after").alias("after_2"))
+        accepted = pairs.where("other < 0").join(F.broadcast(against.where("other < 0")), ["kind", "other"])
+        below = pairs.where("other >= 0").join(against.where("other >= 0"), ["kind", "other"])
+        found = accepted.unionByName(below).where(differ).select("kind", "fringe", "known").distinct().collect()  # fringe times accepted states
+        apart = {(r.kind, r.fringe // 256, chr(r.fringe % 256), r.known) for r in found}
+        drop(nodes)
+        for kind, ats in fringe.items():
+            merges, new = grammar.decided(ats, len(moves[kind]), lambda at, k, kind=kind: (kind, *at, k) in apart)
+            for i, symbol in new:
+                merges[i, symbol] = len(moves[kind])
+                moves[kind].append({})
+            for (i, symbol), k in merges.items():
+                moves[kind][i][symbol] = k
+        left = sorted(fringe)
+    return moves
 
 
 def _automata(values: DataFrame, moves: dict[int, list[dict[str, int]]]) -> dict[int, grammar.Automaton]:

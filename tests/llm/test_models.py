@@ -181,3 +181,18 @@ def test_counted_prefixes_merge_as_the_prefix_tree_does():
         grammar.walk(moves, value, counts)
     automaton = grammar.weighted(moves, counts)
     assert all(abs(automaton.score(x) - plain.score(x)) < 1e-12 for x in values)
+
+
+def test_no_prefix_is_too_rare_for_the_merges(spark, monkeypatch):
+    rng = random.Random(12)
+    some = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    values = sorted({*(some(rng.choice([6, 9])) + "." for _ in range(2500)), *(f"QZ-{some(3, '012')}=" for _ in range(40)), "7" * 3000})
+    hexes = sorted({some(30) for _ in range(50)})
+    held = spark.createDataFrame([(0, v) for v in values] + [(2, v) for v in hexes], "kind long, value string").repartition(3)
+    plain = {k: [{s: to for s, (to, _) in x.items()} for x in grammar.infer(v).moves] for k, v in ((0, values), (2, hexes))}
+    assert len(plain[0]) > 5 and plain[0][0]["G"] > 0  # the 40 values have states of their own
+    assert secret_scan._structures(held) == plain
+    # A tree that the driver doesn't hold is merged by Spark, to the same states.
+    monkeypatch.setattr(secret_scan, "STATES", 64)
+    monkeypatch.setattr(secret_scan, "VISITS", 5000)
+    assert secret_scan._structures(held) == plain
